@@ -47,3 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def per_process(name: str, make):
+    """A value made once in a Python worker and kept from task to task."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_loomgraph_worker", types.ModuleType("_loomgraph_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)

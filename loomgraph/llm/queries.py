@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from . import phrase_index
 from .packing import op2_vector_packing
+from .phrase_index import op9_phrase_index
 from .secret_scan import op10_credential_links
+from .simhash import op4_simhash_pigeonhole
+from .telephony import op3_telephony_audio
 from .url_filter import op6_url_lm_ratio
 
 QUERIES = {
     "op2_vector_packing": op2_vector_packing,
+    "op3_telephony_audio": op3_telephony_audio,
+    "op4_simhash_pigeonhole": op4_simhash_pigeonhole,
     "op6_url_lm_ratio": op6_url_lm_ratio,
+    "op9_phrase_index": op9_phrase_index,
     "op10_credential_links": op10_credential_links,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_phrase_index": phrase_index.ORACLE}
