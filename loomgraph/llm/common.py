@@ -49,6 +49,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a stored table of narrow rows (under 100 bytes each) is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def per_process(name: str, make):
     """A value made once in a Python worker and kept from task to task."""
     import sys

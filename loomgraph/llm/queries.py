@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from . import phrase_index
+from .language_id import op5_language_fusion, pages_language
+from .line_templates import op7_line_templates
 from .packing import op2_vector_packing
+from .passage_chains import op1_passage_chains
 from .phrase_index import op9_phrase_index
 from .secret_scan import op10_credential_links
 from .simhash import op4_simhash_pigeonhole
 from .telephony import op3_telephony_audio
+from .toxicity import op8_text_cnn
 from .url_filter import op6_url_lm_ratio
 
 QUERIES = {
+    "op1_passage_chains": op1_passage_chains,
     "op2_vector_packing": op2_vector_packing,
     "op3_telephony_audio": op3_telephony_audio,
     "op4_simhash_pigeonhole": op4_simhash_pigeonhole,
+    "op5_language_fusion": op5_language_fusion,
+    "pages_language": pages_language,
     "op6_url_lm_ratio": op6_url_lm_ratio,
+    "op7_line_templates": op7_line_templates,
+    "op8_text_cnn": op8_text_cnn,
     "op9_phrase_index": op9_phrase_index,
     "op10_credential_links": op10_credential_links,
 }
