@@ -16,56 +16,56 @@ If no item can be cut to fill a sequence (the segment or loss limit is met first
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import per_process, table
 
-MAX_TOKENS, MAX_SEGMENTS, POOL, END_ID = 2048, 128, 2048, 1
-WORDS_KEPT = 300_000
+MAX_TOKENS, MAX_SEGMENTS, POOL, END_ID = 2048, 128, 1024, 1
+WORDS_KEPT = 500_000
+#: Texts of these characters only are split here just as the tokenizer splits them, after lower-casing.
+PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\u00c0-\u00ff\u2010-\u2027\u2030-\u205e]*")
+# Fixed value: the tokenizer's own split pattern, for those characters.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 class WordTokenizer:
-    """Token ids as little-endian uint32 bytes; a word's ids are found once, for the tokenizer splits at white space.
+    """Token ids as little-endian uint32 bytes; the ids of a word are found once and kept.
 
-    ``\\x1c`` to ``\\x1f`` are white space to Python but not to the tokenizer, and special tokens may span words: texts
-    that hold either are encoded whole.
+    The tokenizer splits a text into words and marks each word's last token, so many new words are encoded as one text and
+    cut at the marks. Texts with other characters than ``PLAIN`` (which may compose or change case in other ways) and texts
+    that may hold special tokens are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not ("<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")) for t in texts]
-        split = [t.split() if ok else [] for t, ok in zip(texts, plain)]
+        split = [SPLIT.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         words = self.words
         if len(words) > WORDS_KEPT:
             words.clear()
-        new = list({w for ws in split for w in ws if w not in words})
+        new = list({w for ws in split if ws for w in ws if w not in words})
         for k in range(0, len(new), 2000):
-            self._learn(new[k : k + 2000])
-        return [b"".join(map(words.__getitem__, ws)) if ok else self.whole(t) for t, ws, ok in zip(texts, split, plain)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode many words as one text and cut the ids where the words end."""
-        said = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(said.ids, "<u4")
-        ends = np.cumsum([len(w) + 1 for w in new])
-        begun = np.array([a for a, _ in said.offsets], np.int64) if len(ids) else np.zeros(0, np.int64)
-        cuts = np.searchsorted(begun, ends)
-        at = 0
-        for w, cut in zip(new, cuts):
-            self.words[w] = ids[at:cut].tobytes()
-            at = cut
+            part = new[k : k + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            flat = ids.tobytes()
+            words.update(zip(part, (flat[a:z] for a, z in zip([0, *cuts], cuts))))
+        return [self.whole(t) if ws is None else b"".join(map(words.__getitem__, ws)) for t, ws in zip(texts, split)]
 
 
 class Item:
@@ -168,7 +168,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = WordTokenizer(tokenizer)
+        encoder = per_process("tokenizer:" + tokenizer, lambda: WordTokenizer(tokenizer))
         packer = Packer(max_tokens, max_segments, first=TaskContext.get().partitionId() << 36)
         held: dict[int, tuple] = {}
         end, key = np.array([END_ID], "<u4").tobytes(), 0
@@ -222,7 +222,7 @@ def pack_instructions(turns: DataFrame, tokenizer: str, conv_col: str = "conv_id
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = WordTokenizer(tokenizer)
+        encoder = per_process("tokenizer:" + tokenizer, lambda: WordTokenizer(tokenizer))
         packer = Packer(max_tokens, max_segments, max_loss, TaskContext.get().partitionId() << 36)
         held, rows, key = {}, [], 0
 
