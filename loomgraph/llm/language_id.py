@@ -51,9 +51,12 @@ def train_text(rows: DataFrame, sample: int = SAMPLE) -> dict | None:
         return None
     picked = None
     for name in names:
-        part = rows.where(F.col("label") == name).orderBy(F.xxhash64("id"), "id", F.xxhash64("payload")).limit(sample)
+        part = rows.where(F.col("label") == name).select("label", "id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    seen = [(r.label, trigrams(bytes(r.payload))) for r in picked.select("label", "payload").collect()]
+    # ids only are sorted; the texts of at most ``sample`` ids a language are fetched by a join
+    texts = rows.join(F.broadcast(picked), ["label", "id"], "left_semi")
+    seen = sorted((r.label, bytes(r.payload)) for r in texts.select("label", "payload").collect())
+    seen = [(name, trigrams(payload)) for name, payload in seen]
     tally = np.full((SLOTS, len(names)), 0.1)
     for name, grams in seen:
         tally[:, names.index(name)] += np.bincount(grams, minlength=SLOTS)
