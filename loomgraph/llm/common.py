@@ -59,11 +59,12 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def per_process(name: str, make):
-    """A value made once in a Python worker and kept from task to task."""
+    """A value made once in a Python worker and kept from task to task; only the last one asked for is kept."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_loomgraph_worker", types.ModuleType("_loomgraph_worker"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    if getattr(kept, "name", None) != name:
+        kept.value = None
+        kept.name, kept.value = name, make()
+    return kept.value

@@ -16,6 +16,11 @@ a spanning forest, not as all pairs.
 
 Components: alternating large-star and small-star steps over the links, cut by checkpoints, until nothing changes.
 
+Similar documents: a whole text's SimHash differs in ten bits and more at a similarity of 0.8, for which no partition of 64 bits
+is selective. ``similar_documents`` therefore takes a fingerprint for each content-defined segment of a text, keeps the least
+few of them (by a hash), links fingerprints by the same pigeonhole, and verifies the exact similarity of the shingle sets of
+texts that share a class of segments with the first and the last text of that class.
+
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer words than a shingle are one shingle;
 rows with equal text or equal ids are rows of their own with one class; the class's name is its smallest non-null id (null if it
 has none); an empty table gives an empty result.
@@ -27,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table, utf8
+from .common import checkpointed, small_side, stored, table, utf8
 
 RADIUS, SHINGLE, BUCKET, SMALL = 2, 3, 4096, 32
 
@@ -290,12 +295,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, rows.fp == classes.fp_).select("doc_id", "text_hash", "fp", "class_fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One document of every class: that with the smallest id, of several texts under that id the one of the smallest hash.
+SKETCH = 12
+
+
+def segment_prints(data: bytes, shingle: int = 5, sketch: int = SKETCH) -> np.ndarray:
+    """SimHashes of a text's segments, the least ``sketch`` by a hash for each segment size that fits the text's length.
+
+    A segment ends at a shingle whose hash is divisible by the size (a power of two, so short texts have several segments too);
+    texts near a change of size give segments of both.
+    """
+    import xxhash
+
+    words, hash_ = data.lower().split(), xxhash.xxh64_intdigest
+    if not words:
+        return np.zeros(1, np.int64)
+    n = max(1, len(words) - shingle + 1)
+    h = np.fromiter((hash_(b" ".join(words[k : k + shingle]), 42) for k in range(n)), np.uint64, n)
+    out = []
+    for size in {min(32, 1 << max(1, int(f * n / 8).bit_length() - 1)) for f in (0.85, 1.15)}:
+        ends = np.flatnonzero(h & np.uint64(size - 1) == 0)
+        starts = np.unique(np.concatenate([[0], ends[ends < n - 1] + 1]))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        ones = np.add.reduceat(bits, starts, axis=0)
+        count = np.diff(np.append(starts, n))[:, None]
+        prints = np.unique(np.packbits(2 * ones > count, axis=1, bitorder="little").view(np.uint64)[:, 0])
+        order = np.argsort(prints * np.uint64(0x9E3779B97F4A7C15) ^ (prints >> np.uint64(31)))
+        out.append(prints[order[:sketch]])
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def shingle_set(data: bytes, shingle: int = 5) -> frozenset:
+    """Hashes of a text's word shingles."""
+    import xxhash
+
+    words, hash_ = data.lower().split(), xxhash.xxh64_intdigest
+    return frozenset(hash_(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 1) -> DataFrame:
+    """``doc_id, text_hash, class_fp, component_id`` for every row: classes of texts linked by similarities of 0.8 or more."""
+
+    def sketch(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            prints = [segment_prints(x.as_py(), shingle) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "prints"])
+
+    def verify(batches):
+        import pyarrow as pa
 
-    A row that is repeated as a whole under that id stays once.
+        last: dict[int, frozenset] = {}
+        for b in batches:
+            a, z, ok = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for p, t, u in zip(z, b.column(2), b.column(3)):
+                if p not in last:
+                    last = {p: shingle_set(u.as_py(), shingle)}
+                x, y = shingle_set(t.as_py(), shingle), last[p]
+                both = len(x & y)
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, y in zip(a, ok) if y], pa.int64()), pa.array([k for k, y in zip(z, ok) if y], pa.int64())], names=["a", "b"])
+
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _text_hash(text_col), utf8(text_col))
+    rows = stored(source.mapInArrow(sketch, "doc_id bigint, text_hash bigint, prints array<bigint>"), "sketches")
+    texts = stored(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints")), "texts")
+    parts = stored(texts.select("text_hash", "least_id", F.explode("prints").alias("fp")), "segments")
+    distinct = stored(parts.groupBy("fp").agg(F.count("*").alias("n")), "prints")
+    links = bucket_links(candidate_buckets(distinct.select("fp"), plan(distinct, radius)), radius)
+    member = stored(components(stored(links, "links")), "members")
+    parts = parts.join(member, parts.fp == member.node, "left").withColumn("cls", F.coalesce("root", "fp"))
+    end = F.struct("least_id", "text_hash")
+    ends = parts.groupBy("cls").agg(F.min(end)["text_hash"].alias("lo"), F.max(end)["text_hash"].alias("hi")).where("lo <> hi")
+    pairs = parts.join(ends, "cls").select(F.col("text_hash").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "wanted")
+    held = docs.select(_text_hash(text_col), utf8(text_col).alias("t")).join(small_side(wanted), F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
+    held = stored(held, "held")
+    both = pairs.join(held.select(F.col("text_hash").alias("a"), "t"), "a").join(held.select(F.col("text_hash").alias("b"), F.col("t").alias("u")), "b")
+    similar = stored(both.select("a", "b", "t", "u").mapInArrow(verify, "a bigint, b bigint"), "similar")
+    member = stored(components(similar), "members")
+    named = texts.join(member, texts.text_hash == member.node, "left").select("text_hash", "least_id", F.coalesce("root", "text_hash").alias("class_fp"))
+    classes = named.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
+    found = named.join(classes, "class_fp").select(F.col("text_hash").alias("hash_"), "class_fp", "component_id")
+    return rows.join(found, rows.text_hash == found.hash_).select("doc_id", "text_hash", "class_fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of every class (of ``near_duplicates`` or ``similar_documents``): that with the smallest id, of several texts
+    under that id the one of the smallest hash. A row that is repeated as a whole under that id stays once.
     """
-    found = near_duplicates(docs, id_col, text_col, **kw).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     each = found.groupBy("class_fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).groupBy("class_fp").agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("r"))
     kept = stored(each.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"), F.col("r.n").alias("__n")), "kept")
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (_text_hash(text_col) == F.col("__hash"))

@@ -91,9 +91,39 @@ def test_one_of_each(docs):
     for r in rows:
         if r.doc_id == r.component_id:
             least[r.class_fp] = min(least.get(r.class_fp, (r.text_hash, r.doc_id)), (r.text_hash, r.doc_id))
-    kept = one_of_each(docs).collect()
+    kept = one_of_each(docs, near_duplicates(docs)).collect()
     assert len(kept) == len({r.class_fp for r in rows}) and sorted(str(r.doc_id) for r in kept) == sorted(str(d) for _, d in least.values())
-    assert one_of_each(docs.where("false")).count() == 0
+    assert one_of_each(docs.where("false"), near_duplicates(docs.where("false"))).count() == 0
+
+
+def test_similar_documents(spark):
+    """Copies with edits up to a similarity of 0.8 fall together; others do not, however long the text."""
+    import random
+
+    from loomgraph.llm.simhash import one_of_each, similar_documents
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    rows, group = [], {}
+    for g in range(60):
+        base = [word() for _ in range(rnd.choice([12, 40, 90, 300, 900]))]
+        for c in range(rnd.choice([1, 2, 4])):
+            w = list(base)
+            for _ in range(0 if c == 0 else rnd.randrange(1, max(2, len(base) // 60))):
+                w[rnd.randrange(len(w))] = word()
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows += [(500, None), (501, ""), (502, rows[3][1]), (502, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
+    assert sum(got[i] == got[j] for i, j in near) >= 0.95 * len(near) and len(near) > 30
+    assert all(group[d] == group[c] for d, c in got.items() if d < 500 and c is not None)
+    assert got[502] == got[3] and got[501] in (500, 501)
+    kept = [r.doc_id for r in one_of_each(df, similar_documents(df)).collect()]
+    assert sorted(kept) == sorted({c for c in got.values()})
+    assert similar_documents(df.where("false")).count() == 0
 
 
 def brute_hits(text, items):
