@@ -78,8 +78,9 @@ def pick_implementations(items: DataFrame, terms: Column, most: int) -> DataFram
 
     items: ``functional, impl_id, path, capabilities, ord``; of one id the first place and the last row's values count.
     """
-    once = items.groupBy("functional", "impl_id").agg(F.min("ord").alias("ord"), F.max_by(F.struct("path", "capabilities"), "ord").alias("v"))
-    text = F.concat_ws(" ", F.col("impl_id"), F.coalesce("v.path", F.lit("")), F.array_join(F.coalesce("v.capabilities", F.array().cast("array<string>")), " "))
+    said = F.array_join(F.coalesce("capabilities", F.array().cast("array<string>")), " ") if "capabilities" in items.columns else F.lit("")
+    once = items.withColumn("said", said).groupBy("functional", "impl_id").agg(F.min("ord").alias("ord"), F.max_by(F.struct("path", "said"), "ord").alias("v"))
+    text = F.concat_ws(" ", F.col("impl_id"), F.coalesce("v.path", F.lit("")), F.coalesce("v.said", F.lit("")))
     scored = once.withColumn("hits", term_hits(text, terms))
     best = scored.groupBy("functional").agg(F.max("hits").alias("top"))
     w = Window.partitionBy("functional").orderBy(F.desc("hits"), "ord")

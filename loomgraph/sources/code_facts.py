@@ -20,12 +20,33 @@ RAW = "path string, module string, kind string, ord int, name string, subkind st
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path`` (below the root), ``content``, ``hash``, ``size``, ``modified`` of all source files."""
-    globs = ",".join(e[1:] for e in [*PYTHON, *C_SOURCES, *C_HEADERS])
+    """``path`` (below the root), ``content``, ``hash``, ``size``, ``modified`` of all source files.
+
+    Spark's file sources pass over names that begin with an underscore; those (``__init__.py`` and the like) are listed and read
+    through the same file system on the driver.
+    """
+    endings = [*PYTHON, *C_SOURCES, *C_HEADERS]
+    globs = ",".join(e[1:] for e in endings)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + globs + "}").load(root)
+    rows = files.select("path", "content", F.col("modificationTime").alias("modified"))
+    jvm, top = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    hidden, listed = [], fs.listFiles(top, True)
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().getName()
+        if name.startswith("_") and name.endswith(tuple(endings)):
+            stream = status.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).open(status.getPath())
+            try:
+                hidden.append((status.getPath().toString(), bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)), status.getModificationTime()))
+            finally:
+                stream.close()
+    if hidden:
+        more = spark.createDataFrame(hidden, "path string, content binary, at bigint")
+        rows = rows.unionByName(more.select("path", "content", F.timestamp_millis("at").alias("modified")))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     path = F.regexp_replace(F.element_at(F.split("path", F.lit(base + "/"), 2), 2), r"^/+", "")
-    rows = files.select(path.alias("path"), "content", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    rows = rows.select(path.alias("path"), "content", F.sha2("content", 256).alias("hash"), F.length("content").alias("size"), "modified")
     return rows.where(~F.exists(F.split("path", "/"), lambda p: p.isin(IGNORED)))
 
 
@@ -259,25 +280,23 @@ def parse_files(files: DataFrame) -> DataFrame:
     """Raw rows of all files (``path, module, content``); one file at a time, whatever its neighbours do."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        names = [f.split()[0] for f in RAW.split(", ")]
-        for pdf in batches:
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+        shape = [f.split() for f in RAW.split(", ")]
+        for b in batches:
             rows = []
-            for r in pdf.itertuples():
-                source = bytes(r.content).decode("utf-8", "replace") if not isinstance(r.content, str) else r.content
-                parse = parse_python if r.path.endswith(".py") else parse_c
+            for path, module, content in zip(*(c.to_pylist() for c in b.columns)):
+                source = content if isinstance(content, str) else (content or b"").decode("utf-8", "replace")
+                parse = parse_python if path.endswith(".py") else parse_c
                 try:
-                    found = list(parse(r.path, r.module, source))
+                    found = list(parse(path, module, source or ""))
                 except RecursionError as e:
                     found = [{"kind": "error", "evidence": str(e)}]
-                rows += [{"path": r.path, "module": r.module, "ord": k, **x} for k, x in enumerate(found)]
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("ord", "start_line", "end_line"):
-                out[c] = out[c].astype("Int32")
-            yield out
+                rows += [{"path": path, "module": module, "ord": k, **x} for k, x in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[t]) for n, t in shape], names=[n for n, _ in shape])
 
-    return files.select("path", "module", "content").mapInPandas(run, RAW)
+    return files.select("path", "module", "content").mapInArrow(run, RAW)
 
 
 def with_modules(files: DataFrame) -> DataFrame:
@@ -344,7 +363,7 @@ def language_of(modules: DataFrame) -> DataFrame:
 
 def light_scan(files: DataFrame) -> DataFrame:
     """Imports, called names and functions by patterns alone, as a degraded mode that needs no Python worker."""
-    text = F.decode("content", F.lit("UTF-8")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
+    text = F.decode("content", "UTF-8") if dict(files.dtypes)["content"] == "binary" else F.col("content")
     every = lambda pattern, k: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(k))))
     calls = F.filter(every(r"\b([A-Za-z_]\w*)\s*\(", 1), lambda x: ~x.isin(sorted(C_WORDS)))
     return files.select(

@@ -80,7 +80,7 @@ def load_state(spark: SparkSession, path: str, version: int) -> DataFrame | None
 
 def bounded_text(files: DataFrame) -> DataFrame:
     """``path, text``: at most 32 KiB of each file (``path, content``), with a mark if it was cut."""
-    cut = F.decode(F.substring("content", 1, MAX_TEXT_BYTES), F.lit("UTF-8"))
+    cut = F.decode(F.substring("content", 1, MAX_TEXT_BYTES), "UTF-8")
     return files.select("path", F.when(F.length("content") > MAX_TEXT_BYTES, F.concat(cut, F.lit("\n[truncated]"))).otherwise(cut).alias("text"))
 
 
