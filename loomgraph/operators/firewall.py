@@ -155,3 +155,13 @@ def audit_record(selected: DataFrame, final_tokens: DataFrame) -> DataFrame:
 def same_turn(previous_turn: Column, turn: Column, previous_step: Column, step: Column) -> Column:
     """Whether a step goes on with the turn that was compiled before."""
     return F.coalesce((previous_turn == turn) & (step > previous_step), F.lit(False))
+
+
+def fallback(has_target: bool, hard_conflict: bool, surface_available: bool) -> str:
+    """What a turn does without compiled context: a conflict that asks for a decision rejects it; without a target the request goes
+    on free of context if the session's surface lets it be said; else it is rejected."""
+    if hard_conflict:
+        return "reject"
+    if has_target:
+        return "compile"
+    return "context-free" if surface_available else "reject"

@@ -333,3 +333,32 @@ def test_provider(spark):
     n = nodes(spark, ("m", "code_module"), ("m:f", "implementation_function"), ("k", "code_module")).withColumns({"module": F.when(F.col("id") == "m:f", "m"), "qualified_id": F.col("id")})
     assert {r.id for r in provider.exclusion_closure(n, edges(spark), ids(spark, "m")).collect()} == {"m", "m:f"}
     assert provider.resolve_target(n, "f").first().id == "m:f" and provider.resolve_target(n, "zz").first().id is None
+
+
+def test_provider_branches(spark):
+    from loomgraph.operators import provider
+
+    symbols = spark.createDataFrame([("m:f", "f", "m", "m", "src/m.py", 1, 5, "def f()"), ("m:g", "g", "m", "m", "src/m.py", 7, 9, "def g()"), ("t:test_f", "test_f", "t", "t", "tests/test_m.py", 1, 3, "def test_f()")], "id string, name string, module string, container string, path string, start_line int, end_line int, signature string")
+    modules = spark.createDataFrame([("m", "src/m.py"), ("t", "tests/test_m.py")], "id string, path string")
+    rel = spark.createDataFrame([(0, "t", "test_f", "t:test_f", "m", "m:f", "CALL", "m.f"), (1, "m", "f", "m:f", "m", "m:g", "CALL", "g")], "ord bigint, `from` string, from_symbol string, from_symbol_id string, `to` string, to_symbol_id string, type string, symbol string")
+    none, terms = ids(spark), F.array(F.lit("zz"))
+    got = {r.id: (r.kind, r.priority) for r in provider.symbol_candidates(symbols, rel, modules, "m:f", none).collect()}
+    assert got == {"m:f": ("symbol", 1000), "m:g": ("callee", 750)}
+    assert [r.id for r in provider.candidate_tests(modules, symbols, rel, "m", ["m:f"], terms, none).collect()] == ["t:test_f"]
+    n = nodes(spark, ("fn", "functional"), ("m", "code_module", {"path": "src/m.py"}), ("k", "code_module", {"path": "k.py"}), ("i", "interface"), ("d", "documentation"))
+    mapped = {r.id: r.priority for r in provider.mapped_candidates(n, symbols, items(spark, ("fn", "m"), ("fn", "k"), ("fn", "t:test_f")), "fn", F.array(F.lit("g")), none).collect()}
+    assert mapped == {"m:f": 900, "m:g": 910, "k": 600, "t:test_f": 1000}
+    near = provider.neighbor_candidates(n, edges(spark, ("i", "fn", "interface"), ("fn", "d", "documents")), "fn", {"interface"})
+    assert [(r.id, r.priority) for r in near.collect()] == [("i", 970)]
+    assert [r.id for r in provider.file_fallback(n, symbols, "k").collect()] == ["k"]
+    both = provider.first_branch([near, near.withColumn("priority", F.lit(1))]).collect()
+    assert [(r.id, r.priority) for r in both] == [("i", 970)]
+
+
+def test_module_compile(spark):
+    from loomgraph.operators.legacy import compile_module
+
+    n = nodes(spark, ("a", "code_module", {"code": "A code"}), ("b", "code_module"), ("c", "code_module"), ("d", "code_module"))
+    memory = spark.createDataFrame([("a", "context", "about a"), ("b", "interface", "b face"), ("b", "state", "b state"), ("c", "interface", "c face"), ("d", "decisions", "d choice")], "module string, scope string, text string")
+    got = compile_module(n, edges(spark, ("a", "b", "interface"), ("a", "c", "force_exclude")), memory, "a", "do it", 500, ["d"], [], rules="be good").where("included").orderBy("ord").collect()
+    assert [(r.label, r.priority) for r in got] == [("User task", 1000), ("Project rules", 950), ("a source", 920), ("a context", 900), ("b interface", 650), ("d decisions", 780)]
