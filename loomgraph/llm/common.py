@@ -58,6 +58,13 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in slices of so many rows, so that what a worker makes of one stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def per_process(name: str, make):
     """A value made once in a Python worker and kept from task to task; only the last one asked for is kept."""
     import sys

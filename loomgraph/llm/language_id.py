@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, utf8
+from .common import sliced, stored, table, utf8
 
 SLOTS, SAMPLE, LANGUAGES, FULL, SURE, SLACK = 1 << 15, 500, 64, 100, 0.5, 1.0
 HOST_WEIGHT, DOMAIN_WEIGHT, SAID_WEIGHT = 20.0, 50.0, 10.0
@@ -88,7 +88,7 @@ def _score(rows: DataFrame, model: dict) -> DataFrame:
         import pyarrow as pa
 
         logp, least = shipped.value["logp"], shipped.value["least"]
-        for b in batches:
+        for b in sliced(batches):
             like, n, odd = [], [], []
             for x in b.column(4):
                 grams = trigrams(x.as_py())

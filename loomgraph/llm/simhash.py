@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_side, stored, table, utf8
+from .common import checkpointed, sliced, small_side, stored, table, utf8
 
 RADIUS, SHINGLE, BUCKET, SMALL = 2, 3, 4096, 32
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(x.as_py(), shingle) for x in b.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
@@ -338,7 +338,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def sketch(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             prints = [segment_prints(x.as_py(), shingle) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "prints"])
 
@@ -346,7 +346,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         import pyarrow as pa
 
         last: dict[int, frozenset] = {}
-        for b in batches:
+        for b in sliced(batches):
             a, z, ok = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for p, t, u in zip(z, b.column(2), b.column(3)):
                 if p not in last:

@@ -99,7 +99,7 @@ def test_line_templates(spark):
             lines += ["", "all rights"]
         rows.append("\n".join(lines))
     rows += [rows[1]] * 30 + ["all rights"] * 10 + ["", "\n\n"]
-    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(rows)] + [(None, None, "x"), (7777, None, "y")], "doc_id bigint, text string, n bigint" .replace("n bigint", "__note string"))
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(rows)] + [(None, None, "x"), (7777, None, "y")], "doc_id bigint, text string, drop string")
     got = {r.doc_id: r for r in drop_templates(df).collect()}
     assert drop_templates(df).count() == len(rows) + 2 and got[7777].text is None
     want = brute_drops(rows, 20, 3)
