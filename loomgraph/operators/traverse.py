@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import filled, rendered_detail, term_hits
-from .closure import reach
+from .closure import reach, settle
 from .store import is_implementation
 
 FLAGS = "id string, depth int, reason string, scope string, pos bigint, expand boolean"
@@ -32,7 +32,6 @@ def traverse(nodes: DataFrame, edges: DataFrame, items: DataFrame, entry: str, l
 
     nodes: ``id, type``; edges: ``ord, source, target, type, mode, scope`` (joined by commas); items: ``functional, impl_id, ord``.
     """
-    spark = nodes.sparkSession
     kinds = nodes.select("id", "type")
     excluded = force_exclude.select("id").distinct().withColumn("at", F.lit(None).cast("struct<p:bigint,o:bigint>"))
     included = force_include.select("id").distinct()
@@ -80,7 +79,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, items: DataFrame, entry: str, l
         level = first.select("id", F.lit(depth).alias("depth"), "v.reason", "v.scope", "pos", "v.expand")
         late = stops.select(F.col("next").alias("id"))
         selected = selected.unionByName(level).join(late, "id", "left_anti")
-        selected, excluded, included = (_cut(df, spark) for df in (selected, excluded, included.join(late, "id", "left_anti")))
+        selected, excluded, included = (settle(df) for df in (selected, excluded, included.join(late, "id", "left_anti")))
         excluded = excluded.withColumn("at", F.lit(None).cast("struct<p:bigint,o:bigint>"))
     return selected.drop("expand"), excluded.select("id"), included
 
@@ -92,11 +91,6 @@ def _exclusions(step: DataFrame) -> DataFrame:
     return alive.groupBy("next").agg(F.min("at").alias("at"))
 
 
-def _cut(df: DataFrame, spark) -> DataFrame:
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if folder else df
-
-
 def selected_functions(selected: DataFrame, nodes: DataFrame, entry: str) -> DataFrame:
     """Functional nodes whose implementation counts: the entry, those with the code scope, targets and mapped ones."""
     ok = (F.col("id") == entry) | F.array_contains(F.split("scope", ","), "code") | F.startswith("reason", F.lit("targets ")) | F.startswith("reason", F.lit("functional mapping for task target "))
@@ -119,7 +113,7 @@ def symbol_narrowing(files: DataFrame, nodes: DataFrame, edges: DataFrame, terms
     while True:
         level = level.join(step, "id").select("file", F.col("child").alias("id")).where("file <> id").distinct()
         level = level if found is None else level.join(found, ["file", "id"], "left_anti")
-        level = level.persist()
+        level = settle(level)
         if level.isEmpty():
             break
         found = level if found is None else found.unionByName(level)

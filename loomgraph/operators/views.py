@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .closure import reach
+from .closure import reach, settle
 from .store import is_implementation
 
 
@@ -55,9 +55,9 @@ def ancestors(parents: DataFrame, seeds: DataFrame) -> DataFrame:
 def layer_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """V4: ``id, level``: breadth-first levels from nodes without incoming edges; then from the first node not reached, and so on."""
     ids = nodes.select("id")
-    own = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
+    own = settle(edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target").distinct())
     roots = ids.join(own.select(F.col("target").alias("id")), "id", "left_anti")
-    levels = reach(own, roots).withColumnRenamed("depth", "level")
+    levels = settle(reach(own, roots).withColumnRenamed("depth", "level"))
     while True:
         rest = nodes.join(levels, "id", "left_anti")
         first = rest.orderBy("ord").select("id").first()

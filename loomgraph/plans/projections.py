@@ -32,7 +32,7 @@ UNION ALL SELECT CAST(1000000 + c_custkey AS BIGINT), 'nation:' || CAST(c_nation
 UNION ALL SELECT CAST(9000000 + c_custkey AS BIGINT), 'customer:' || CAST(c_custkey AS STRING), 'supplier:' || CAST(c_custkey % 10 + 1 AS STRING), CASE WHEN c_custkey % 2 = 0 THEN 'dependency' ELSE 'interface' END, CASE WHEN c_custkey % 9 = 0 THEN 'FORCE_EXCLUDE' ELSE 'AUTO' END FROM customer""",
     # facts: a customer's order lines use parts; the supplier is reached by a call
     "g_facts": """
-SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS ord, 'customer:' || CAST(o_custkey AS STRING) AS "from", 'order' || CAST(l_orderkey % 10 AS STRING) || '.line' || CAST(l_linenumber AS STRING) AS from_symbol,
+SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 100 + ascii(l_returnflag) AS ord, 'customer:' || CAST(o_custkey AS STRING) AS "from", 'order' || CAST(l_orderkey % 10 AS STRING) || '.line' || CAST(l_linenumber AS STRING) AS from_symbol,
   CASE WHEN l_linenumber = 1 THEN 'supplier:' || CAST(l_suppkey AS STRING) WHEN l_linenumber = 7 THEN '?' ELSE 'part:' || CAST(l_partkey AS STRING) END AS "to",
   CASE WHEN l_linenumber = 7 THEN 'OPTIONAL_DEPENDENCY' WHEN l_returnflag = 'A' THEN 'CALL' WHEN l_returnflag = 'N' THEN 'IMPORT' ELSE 'REFERENCE' END AS type,
   'api.p' || CAST(l_partkey % 100 AS STRING) AS symbol, CAST(100 - l_linenumber * 6 - l_orderkey % 7 AS DOUBLE) / 100 AS confidence, 'o' || CAST(l_orderkey AS STRING) AS file, o_orderdate AS day

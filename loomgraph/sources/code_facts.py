@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.closure import settle
 from ..operators.index import alias_table, normalize_symbols, resolve_ladder, resolve_imports, unique_aliases
 
 # Extensions of source files, and folders that are not looked into.
@@ -324,7 +325,7 @@ def code_facts(files: DataFrame, wanted: DataFrame | None = None) -> dict[str, D
     wanted: paths to report on (P21); all files take part in resolution. Names that several symbols share resolve to nothing.
     """
     modules = with_modules(files)
-    raw = parse_files(modules)
+    raw = settle(parse_files(modules))
     ids = modules.select(F.col("module").alias("id")).distinct()
     symbols = normalize_symbols(raw.where("kind = 'symbol'").withColumn("kind", F.col("subkind")).withColumn("line", F.col("start_line")).select("path", "module", "ord", "name", "kind", "subkind", "container", "signature", "start_line", "end_line", "line"))
     unique = unique_aliases(alias_table(symbols))
