@@ -135,7 +135,7 @@ def provider_candidates(spark, sf):
 
 @query()
 def provider_fill(spark, sf):
-    c = project(spark, sf, "g_candidates").where("length(content) < 20000")
+    c = project(spark, sf, "g_candidates").where("content is not null")
     rows = c.select("request", F.col("node").alias("id"), F.when(F.col("ord") % 10 == 0, "file").otherwise("symbol").alias("kind"), "priority", "label", "content", (F.col("ord") % 23 == 0).alias("exact"))
     return provider.fill_budget(rows, 3000)
 

@@ -239,10 +239,11 @@ def invalidate(spark, sf):
     return reconcile.invalidate(n, items, changed)[1]
 
 
-@query(with_("g_edges") + "SELECT target AS id, arg_min(source, ord) AS parent FROM g_edges WHERE type = 'contains' AND source LIKE 'nation:%' AND FALSE GROUP BY 1")
+@query(with_("g_edges") + "SELECT source AS id, arg_min(target, ord) AS parent FROM g_edges WHERE source LIKE 'customer:%' AND target LIKE 'supplier:%' GROUP BY 1")
 def hierarchy_by_edges(spark, sf):
-    n = project(spark, sf, "g_nodes")
-    return views.hierarchy_parents(n, project(spark, sf, "g_edges"))
+    e = project(spark, sf, "g_edges").where("source like 'customer:%' and target like 'supplier:%'")
+    inside = e.select("ord", F.col("target").alias("source"), F.col("source").alias("target"), F.lit("contains").alias("type"))
+    return views.hierarchy_parents(project(spark, sf, "g_nodes"), inside)
 
 
 @query("""WITH n AS (SELECT p_partkey AS ord, p_brand || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ':C' || CAST(p_size % 7 AS VARCHAR) ELSE ':C' || CAST(p_size % 7 AS VARCHAR) || '.f' || CAST(p_partkey AS VARCHAR) END AS id, p_size % 4 AS lv FROM part),
@@ -274,10 +275,10 @@ def view_filter(spark, sf):
     return views.view_filter(project(spark, sf, "g_nodes"), project(spark, sf, "g_edges"), "semantic", "AN")
 
 
-@query(with_("g_nodes", "g_edges", "g_items") + """, v AS (SELECT id FROM g_nodes WHERE ord < 1050), a AS (SELECT source, target, type FROM g_edges UNION ALL SELECT functional, impl_id, 'implemented_by' FROM g_items)
+@query(with_("g_nodes", "g_edges", "g_items") + """, v AS (SELECT id FROM g_nodes WHERE type <> 'implementation_symbol'), a AS (SELECT source, target, type FROM g_edges UNION ALL SELECT functional, impl_id, 'implemented_by' FROM g_items)
 SELECT * FROM a WHERE source IN (SELECT id FROM v) AND target IN (SELECT id FROM v)""")
 def display_edges(spark, sf):
-    return views.display_edges(project(spark, sf, "g_edges"), project(spark, sf, "g_items"), project(spark, sf, "g_nodes").where("ord < 1050"))
+    return views.display_edges(project(spark, sf, "g_edges"), project(spark, sf, "g_items"), project(spark, sf, "g_nodes").where("type <> 'implementation_symbol'"))
 
 
 @query("SELECT CAST(min(80 + (p_partkey % 4) * 260) AS DOUBLE) AS min_x, CAST(max(80 + (p_partkey % 4) * 260) AS DOUBLE) AS max_x, CAST(min(80 + floor(p_partkey / 4) * 180) AS DOUBLE) AS min_y, CAST(max(80 + floor(p_partkey / 4) * 180) AS DOUBLE) AS max_y FROM part")

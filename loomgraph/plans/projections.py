@@ -47,11 +47,11 @@ SELECT conv_id AS session, turn AS pos, conv_id * 1000 + turn AS ord, 'm' || CAS
   CASE WHEN role = 'system' AND conv_id % 3 = 0 THEN 'instructions' END AS form,
   CASE WHEN role = 'system' AND conv_id % 2 = 0 THEN '<context-graph target="x">' ELSE '' END || text AS text
 FROM conversations""",
-    # clauses: the first words of a turn behind a phrase that a rule looks for
+    # clauses: a turn behind a phrase that a rule looks for
     "g_clauses": """
 SELECT conv_id * 1000 + turn AS ord, 'm' || CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING) AS message_id, role,
   CASE (conv_id + turn) % 7 WHEN 0 THEN 'Cache must use ' WHEN 1 THEN 'Player should not use ' WHEN 2 THEN 'Fix the ' WHEN 3 THEN 'Store should be ' WHEN 4 THEN 'Use H.26' || CAST(4 + turn % 2 AS STRING) || ' instead of ' WHEN 5 THEN 'An error in ' ELSE '' END
-    || substring(text, 1, 12 + CAST(conv_id % 3 AS INT)) || '. ' || CASE WHEN turn % 2 = 0 THEN 'Codec must be h264; size must use ' || CAST(conv_id % 4 AS STRING) ELSE 'Done!' END AS text
+    || text || '. ' || CASE WHEN turn % 2 = 0 THEN 'Codec must be h264; size must use ' || CAST(conv_id % 4 AS STRING) ELSE 'Done!' END AS text
 FROM conversations WHERE text IS NOT NULL""",
     "g_candidates": """
 SELECT CAST(doc_id % 20 AS BIGINT) AS request, d.doc_id AS ord, 'doc ' || CAST(d.doc_id AS STRING) AS label, 'doc:' || CAST(d.doc_id AS STRING) AS node, text AS content,
@@ -63,7 +63,7 @@ SELECT CAST(doc_id % 20 AS BIGINT) AS request, d.doc_id AS ord, 'doc ' || CAST(d
 FROM documents d LEFT JOIN (SELECT doc_id AS k, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.k""",
     "g_outline": """
 SELECT 'o' || CAST(l_orderkey AS STRING) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS idx, CAST(1 + CAST(l_quantity AS INT) % 3 AS INT) AS level, 'Part ' || p_type AS title, CAST(1 + l_linenumber * (1 + l_orderkey % 3) AS INT) AS page_start
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 4 = 0""",
+FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "g_events": """
 SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'click' THEN 'user/message' WHEN 'view' THEN 'assistant/message' WHEN 'signup' THEN 'tool/result' ELSE event_type END AS type, event_type AS role, props AS text FROM events""",
     "g_raw_nodes": """
