@@ -41,7 +41,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, items: DataFrame, entry: str, l
     )
     both = both.where("type <> 'derived_from'").where(F.col("forward") | ~F.col("type").isin(schema.FORWARD_TYPES))
     both = both.join(kinds.select(F.col("id").alias("here"), F.col("type").alias("here_type")), "here").join(kinds.select(F.col("id").alias("next"), F.col("type").alias("next_type")), "next")
-    both = both.where(~(F.col("type").isin(schema.CODE_EDGE_TYPES) & (F.col("here_type") == "functional")))
+    both = settle(both.where(~(F.col("type").isin(schema.CODE_EDGE_TYPES) & (F.col("here_type") == "functional"))))
     code = lambda c: is_implementation(F.col(c))
     at = F.struct(F.col("pos").alias("p"), F.col("ord").alias("o"))
     for depth in range(1, limits["semantic"] + 1):
@@ -51,15 +51,15 @@ def traverse(nodes: DataFrame, edges: DataFrame, items: DataFrame, entry: str, l
         near = ((F.col("next_type") == "interface") | (F.col("type") == "interface")) & F.lit(depth > limits["interface"])
         near |= ((F.col("next_type") == "test") | (F.col("type") == "tests")) & F.lit(depth > limits["test"])
         near |= (F.col("next_type") == "task") & (F.col("next") != entry)
-        step = step.where(~near).join(excluded.where("at is null").select(F.col("id").alias("next")), "next", "left_anti")
+        step = settle(step.where(~near).join(excluded.where("at is null").select(F.col("id").alias("next")), "next", "left_anti"))
         out_edge = F.col("forward") & ((F.col("mode") == "FORCE_EXCLUDE") | (F.col("type") == "force_exclude"))
         out_edge = F.coalesce(out_edge, F.lit(False))
-        stops = _exclusions(step.where(out_edge).select("here", "pos", "next", "at"))
+        stops = settle(_exclusions(step.where(out_edge).select("here", "pos", "next", "at")))
         excluded = excluded.unionByName(stops.withColumnRenamed("next", "id")).groupBy("id").agg(F.min("at").alias("at"), F.max(F.col("at").isNull()).alias("start")).select("id", F.when(~F.col("start"), F.col("at")).alias("at"))
         # what is excluded at a place is gone for all later ones
         gone = stops.select(F.col("next").alias("gone"), F.col("at").alias("gone_at"))
         step = step.where(~out_edge).join(gone.withColumnsRenamed({"gone": "next", "gone_at": "next_gone"}), "next", "left").where(F.col("next_gone").isNull() | (F.col("at") < F.col("next_gone")))
-        step = step.join(gone.withColumnsRenamed({"gone": "here", "gone_at": "here_gone"}), "here", "left").where(F.col("here_gone").isNull() | (F.col("here_gone.p") >= F.col("pos")))
+        step = settle(step.join(gone.withColumnsRenamed({"gone": "here", "gone_at": "here_gone"}), "here", "left").where(F.col("here_gone").isNull() | (F.col("here_gone.p") >= F.col("pos"))))
         in_edge = F.coalesce(F.col("forward") & ((F.col("mode") == "FORCE_INCLUDE") | (F.col("type") == "force_include")), F.lit(False))
         included = included.unionByName(step.where(in_edge).select(F.col("next").alias("id"))).distinct()
         step = step.where(~in_edge & (F.col("here_type").isin("task", "functional") | code("here_type")))
