@@ -47,7 +47,7 @@ def list_fingerprint(messages: DataFrame) -> DataFrame:
 
 def is_snapshot() -> Column:
     """A message of the engine's own that holds compiled context."""
-    return F.coalesce((F.col("kind") == "plugin") & (F.col("plugin") == "context-graph") & F.col("text").rlike(r"^<context-graph(?:\s|>)"), F.lit(False))
+    return F.coalesce((F.col("kind") == "plugin") & (F.col("plugin") == "loom-context") & F.col("text").rlike(r"^<loom-context(?:\s|>)"), F.lit(False))
 
 
 def inspect_request(messages: DataFrame, system_tokens: int = 0, tool_tokens: int = 0) -> DataFrame:
@@ -103,7 +103,7 @@ def snapshot_text(target: Column, tokens: Column, context: Column) -> Column:
     """Compiled context as one message's text."""
     from .target import escape_attribute
 
-    return F.concat(F.lit('<context-graph target="'), escape_attribute(target), F.lit('" tokens="'), tokens.cast("string"), F.lit('">\n'), context, F.lit("\n</context-graph>"))
+    return F.concat(F.lit('<loom-context target="'), escape_attribute(target), F.lit('" tokens="'), tokens.cast("string"), F.lit('">\n'), context, F.lit("\n</loom-context>"))
 
 
 def surface_projection(events: DataFrame, surface: DataFrame) -> DataFrame:

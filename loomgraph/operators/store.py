@@ -121,7 +121,7 @@ def raw_context_tokens(nodes: DataFrame) -> DataFrame:
 
 def display_source(scope: Column, path: Column, source: Column) -> Column:
     """Where a piece of context comes from."""
-    return F.when(scope == "project", ".context/project.md").when(scope == "task", "current request").when((scope == "code") & (path != ""), path).otherwise(filled(source, path, F.lit("context graph")))
+    return F.when(scope == "project", ".context/project.md").when(scope == "task", "current request").when((scope == "code") & (path != ""), path).otherwise(filled(source, path, F.lit("graph")))
 
 
 def placed_by_index(nodes: DataFrame) -> DataFrame:

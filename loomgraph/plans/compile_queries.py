@@ -146,12 +146,12 @@ def message_filter(spark, sf):
     return firewall.filter_messages(project(spark, sf, "g_messages"), ["notes"]).select("session", "pos")
 
 
-@query(with_("g_messages") + f"SELECT session, count(*) AS n_messages, CAST(sum(CASE WHEN kind = 'plugin' AND plugin = 'context-graph' THEN 1 ELSE 0 END) AS BIGINT) AS n_snapshots, CAST(sum(CASE WHEN kind = 'plugin' AND plugin <> 'context-graph' AND coalesce(form, '') <> 'instructions' THEN 1 ELSE 0 END) AS BIGINT) AS n_foreign, CAST(sum({tokens_sql('text')} + 6) AS BIGINT) AS message_tokens, CAST(sum({tokens_sql('text')} + 6) + 150 AS BIGINT) AS final_tokens FROM g_messages GROUP BY 1")
+@query(with_("g_messages") + f"SELECT session, count(*) AS n_messages, CAST(sum(CASE WHEN kind = 'plugin' AND plugin = 'loom-context' THEN 1 ELSE 0 END) AS BIGINT) AS n_snapshots, CAST(sum(CASE WHEN kind = 'plugin' AND plugin <> 'loom-context' AND coalesce(form, '') <> 'instructions' THEN 1 ELSE 0 END) AS BIGINT) AS n_foreign, CAST(sum({tokens_sql('text')} + 6) AS BIGINT) AS message_tokens, CAST(sum({tokens_sql('text')} + 6) + 150 AS BIGINT) AS final_tokens FROM g_messages GROUP BY 1")
 def message_tokens(spark, sf):
     return firewall.inspect_request(project(spark, sf, "g_messages"), 100, 50)
 
 
-@query(with_("g_messages") + f""", t AS (SELECT session, sum(CASE WHEN kind = 'plugin' AND plugin = 'context-graph' THEN 1 ELSE 0 END) AS ns, sum(CASE WHEN kind = 'plugin' AND plugin <> 'context-graph' AND coalesce(form, '') <> 'instructions' THEN 1 ELSE 0 END) AS nf, sum({tokens_sql('text')} + 6) AS tk FROM g_messages GROUP BY 1)
+@query(with_("g_messages") + f""", t AS (SELECT session, sum(CASE WHEN kind = 'plugin' AND plugin = 'loom-context' THEN 1 ELSE 0 END) AS ns, sum(CASE WHEN kind = 'plugin' AND plugin <> 'loom-context' AND coalesce(form, '') <> 'instructions' THEN 1 ELSE 0 END) AS nf, sum({tokens_sql('text')} + 6) AS tk FROM g_messages GROUP BY 1)
 SELECT session, 'SNAPSHOT_COUNT' AS code, CAST(ns AS BIGINT) AS n FROM t WHERE ns <> 1 UNION ALL SELECT session, 'FOREIGN_PLUGIN', CAST(nf AS BIGINT) FROM t WHERE nf > 0
 UNION ALL SELECT session, 'BUDGET', CAST(ceil(tk * CAST(1.15 AS DOUBLE)) AS BIGINT) + 256000 FROM t WHERE ceil(tk * CAST(1.15 AS DOUBLE)) + 256000 > 256800
 UNION ALL SELECT session, 'MESSAGE_MISMATCH', count(*) FROM g_messages WHERE ord % 13 = 0 GROUP BY session""")

@@ -43,9 +43,9 @@ SELECT s_suppkey AS ord, 'nation:' || CAST(s_nationkey AS STRING) AS functional,
     "g_messages": """
 SELECT conv_id AS session, turn AS pos, conv_id * 1000 + turn AS ord, 'm' || CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING) AS message_id, role,
   CASE WHEN role = 'system' THEN 'plugin' WHEN role = 'user' AND turn % 5 = 4 THEN 'tool' ELSE 'user' END AS kind,
-  CASE WHEN role = 'system' THEN CASE WHEN conv_id % 2 = 0 THEN 'context-graph' ELSE 'notes' END END AS plugin,
+  CASE WHEN role = 'system' THEN CASE WHEN conv_id % 2 = 0 THEN 'loom-context' ELSE 'notes' END END AS plugin,
   CASE WHEN role = 'system' AND conv_id % 3 = 0 THEN 'instructions' END AS form,
-  CASE WHEN role = 'system' AND conv_id % 2 = 0 THEN '<context-graph target="x">' ELSE '' END || text AS text
+  CASE WHEN role = 'system' AND conv_id % 2 = 0 THEN '<loom-context target="x">' ELSE '' END || text AS text
 FROM conversations""",
     # clauses: a turn behind a phrase that a rule looks for
     "g_clauses": """

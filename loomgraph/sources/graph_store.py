@@ -16,7 +16,7 @@ MEMORY_FILES = ["context", "interface", "state", "decisions"]
 
 
 class GraphTooLarge(ValueError):
-    code = "CONTEXT_GRAPH_TOO_LARGE"
+    code = "GRAPH_TOO_LARGE"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

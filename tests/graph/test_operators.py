@@ -278,7 +278,7 @@ def test_targets(spark):
 def test_firewall(spark):
     from loomgraph.operators import firewall
 
-    rows = [(1, 0, "user", "user", None, None, "first"), (1, 1, "assistant", "model", None, None, "hi"), (1, 2, "user", "plugin", "evil", None, "x"), (1, 3, "user", "plugin", "good", "instructions", "i"), (1, 4, "user", "tool", None, None, "r"), (1, 5, "user", "user", None, None, "last"), (1, 6, "user", "plugin", "context-graph", None, "<context-graph>x")]
+    rows = [(1, 0, "user", "user", None, None, "first"), (1, 1, "assistant", "model", None, None, "hi"), (1, 2, "user", "plugin", "evil", None, "x"), (1, 3, "user", "plugin", "good", "instructions", "i"), (1, 4, "user", "tool", None, None, "r"), (1, 5, "user", "user", None, None, "last"), (1, 6, "user", "plugin", "loom-context", None, "<loom-context>x")]
     m = spark.createDataFrame(rows, "session bigint, pos bigint, role string, kind string, plugin string, form string, text string")
     assert [r.pos for r in firewall.filter_messages(m, ["good"]).orderBy("pos").collect()] == [3, 4, 5]
     codes = {r.code: r.n for r in firewall.audit_request(m, m.where("pos <> 1"), 10**6).collect()}
