@@ -17,9 +17,10 @@ a spanning forest, not as all pairs.
 Components: alternating large-star and small-star steps over the links, cut by checkpoints, until nothing changes.
 
 Similar documents: a whole text's SimHash differs in ten bits and more at a similarity of 0.8, for which no partition of 64 bits
-is selective. ``similar_documents`` therefore takes a fingerprint for each content-defined segment of a text, keeps the least
-few of them (by a hash), links fingerprints by the same pigeonhole, and verifies the exact similarity of the shingle sets of
-texts that share a class of segments with the first and the last text of that class.
+is selective. ``similar_documents`` is therefore exact by prefixes: of the hashes of a text's shingles, in order, so many of the
+first are tokens that a set as similar has a number of them among its own. Texts that share so many tokens are compared, unless
+their sizes or the parity bits of their sets exclude the similarity; texts that share a token that many have are compared until
+they are of one class. No pair of the similarity or more is left out.
 
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer words than a shingle are one shingle;
 rows with equal text or equal ids are rows of their own with one class; the class's name is its smallest non-null id (null if it
@@ -295,91 +296,200 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, rows.fp == classes.fp_).select("doc_id", "text_hash", "fp", "class_fp", "component_id")
 
 
-SKETCH = 12
-
-
-def segment_prints(data: bytes, shingle: int = 5, sketch: int = SKETCH) -> np.ndarray:
-    """SimHashes of a text's segments, the least ``sketch`` by a hash for each segment size that fits the text's length.
-
-    A segment ends at a shingle whose hash is divisible by the size (a power of two, so short texts have several segments too);
-    texts near a change of size give segments of both.
-    """
+def shingle_hashes(data: bytes, shingle: int = 5) -> np.ndarray:
+    """The different hashes of a text's word shingles, in order."""
     import xxhash
 
     words, hash_ = data.lower().split(), xxhash.xxh64_intdigest
     if not words:
-        return np.zeros(1, np.int64)
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
-    h = np.fromiter((hash_(b" ".join(words[k : k + shingle]), 42) for k in range(n)), np.uint64, n)
-    out = []
-    for size in {min(32, 1 << max(1, int(f * n / 8).bit_length() - 1)) for f in (0.85, 1.15)}:
-        ends = np.flatnonzero(h & np.uint64(size - 1) == 0)
-        starts = np.unique(np.concatenate([[0], ends[ends < n - 1] + 1]))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-        ones = np.add.reduceat(bits, starts, axis=0)
-        count = np.diff(np.append(starts, n))[:, None]
-        prints = np.unique(np.packbits(2 * ones > count, axis=1, bitorder="little").view(np.uint64)[:, 0])
-        order = np.argsort(prints * np.uint64(0x9E3779B97F4A7C15) ^ (prints >> np.uint64(31)))
-        out.append(prints[order[:sketch]])
-    return np.unique(np.concatenate(out)).view(np.int64)
-
-
-def shingle_set(data: bytes, shingle: int = 5) -> frozenset:
-    """Hashes of a text's word shingles."""
-    import xxhash
+    text = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
+    ends = (ends[len(words) - n :] - 1).tolist()
+    return np.unique(np.fromiter((hash_(text[a:z]) for a, z in zip(starts, ends)), np.uint64, n))
+
+
+def needed(n: int, similarity: float) -> int:
+    """The least number of a set's n elements that a set as similar has too."""
+    return int(np.ceil(similarity * n - 1e-9))
 
-    words, hash_ = data.lower().split(), xxhash.xxh64_intdigest
-    return frozenset(hash_(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))) if words else frozenset()
 
+def in_common(n):
+    """How many tokens a set of n elements must have in common with one as similar and as large or larger."""
+    return 1 + n // 32
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 1) -> DataFrame:
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bits: whether the number of hashes dealt to the bit is odd. Two sets' bits differ at most as often as the sets.
+
+    As many bits as hashes (a power of two of words, ``PARITY`` at least); fewer are had by ``fold``.
+    """
+    n = 64 * PARITY
+    while n < len(hashes):
+        n *= 2
+    bits = np.bincount(hashes.astype(np.int64) & (n - 1), minlength=n) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def fold(odd: np.ndarray, words: int) -> np.ndarray:
+    """Parity bits in so many words."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, words), axis=0)
+
+
+PARITY = 8
+
+
+def small_pairs(parts: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: all pairs of texts that share tokens enough and whose sizes allow the similarity."""
+
+    def paired(tokens, texts, sizes):
+        out_a, out_b, out_s = [], [], []
+        at, shift = np.arange(len(tokens)), 1
+        while len(at):
+            at = at[at + shift < len(tokens)]
+            at = at[tokens[at] == tokens[at + shift]]
+            x, y = sizes[at], sizes[at + shift]
+            near = at[np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9]
+            out_a.append(texts[near])
+            out_b.append(texts[near + shift])
+            out_s.append((sizes[near], sizes[near + shift]))
+            shift += 1
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        low = np.concatenate([np.minimum(*z) for z in out_s]) if out_s else np.zeros(0, np.int64)
+        order = np.lexsort((np.maximum(a, b), np.minimum(a, b)))
+        a, b, low = np.minimum(a, b)[order], np.maximum(a, b)[order], low[order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+        return a[at], b[at], low[at], np.diff(np.append(at, len(a)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = [np.zeros(0, np.int64)] * 3
+        for b in _with_end(batches):
+            if b is not None:
+                held = [np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held)]
+            if not len(held[0]):
+                continue
+            cut = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))
+            found = paired(*[h[:cut] for h in held])
+            held = [h[cut:] for h in held]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "low", "n"])
+
+    dealt = parts.select("token", "text_hash", F.col("size").cast("bigint")).repartition("token").sortWithinPartitions("token")
+    found = dealt.mapInArrow(run, "a bigint, b bigint, low bigint, n bigint").groupBy("a", "b").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    return found.where(F.col("n") >= 1 + F.floor(F.col("low") / 32)).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
     """``doc_id, text_hash, class_fp, component_id`` for every row: classes of texts linked by similarities of 0.8 or more."""
 
     def sketch(batches):
         import pyarrow as pa
 
         for b in sliced(batches):
-            prints = [segment_prints(x.as_py(), shingle) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "prints"])
+            sizes, prefixes, odd, low = [], [], [], []
+            for x in b.column(2):
+                h = shingle_hashes(x.as_py(), shingle)
+                sizes.append(len(h))
+                prefixes.append(h[: len(h) - needed(len(h), similarity) + in_common(len(h))].view(np.int64) if len(h) else [0])
+                odd.append(parity(h))
+                low.append(fold(odd[-1], PARITY))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(odd, longs), pa.array(low, longs)], names=["doc_id", "text_hash", "size", "prefix", "odd", "low"])
 
     def verify(batches):
         import pyarrow as pa
 
-        last: dict[int, frozenset] = {}
+        last: dict[int, np.ndarray] = {}
         for b in sliced(batches):
             a, z, ok = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for p, t, u in zip(z, b.column(2), b.column(3)):
                 if p not in last:
-                    last = {p: shingle_set(u.as_py(), shingle)}
-                x, y = shingle_set(t.as_py(), shingle), last[p]
-                both = len(x & y)
-                ok.append(both >= similarity * (len(x) + len(y) - both))
+                    last = {p: shingle_hashes(u.as_py(), shingle)}
+                x, y = shingle_hashes(t.as_py(), shingle), last[p]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, y in zip(a, ok) if y], pa.int64()), pa.array([k for k, y in zip(z, ok) if y], pa.int64())], names=["a", "b"])
 
+    def sieve(batches):
+        import pyarrow as pa
+
+        for b in sliced(batches):
+            ok = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                words = min(len(x), len(y))
+                ok.append(_popcount(fold(x, words) ^ fold(y, words)).sum() <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (texts.select(F.col("text_hash").alias(c), F.col("size").alias(f"n{c}"), F.col("odd").alias(f"x{c}")) for c in "ab")
+        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb")
+        pairs = stored(pairs.mapInArrow(sieve, "a bigint, b bigint"), "sieved")
+        wanted = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "wanted")
+        held = docs.select(_text_hash(text_col), utf8(text_col).alias("t")).join(small_side(wanted), F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
+        held = stored(held.select("text_hash", "t"), "held")
+        both = pairs.join(held.select(F.col("text_hash").alias("a"), "t"), "a").join(held.select(F.col("text_hash").alias("b"), F.col("t").alias("u")), "b")
+        return stored(both.select("a", "b", "t", "u").mapInArrow(verify, "a bigint, b bigint"), "similar")
+
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _text_hash(text_col), utf8(text_col))
-    rows = stored(source.mapInArrow(sketch, "doc_id bigint, text_hash bigint, prints array<bigint>"), "sketches")
-    texts = stored(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"), F.first("prints").alias("prints")), "texts")
-    parts = stored(texts.select("text_hash", "least_id", F.explode("prints").alias("fp")), "segments")
-    distinct = stored(parts.groupBy("fp").agg(F.count("*").alias("n")), "prints")
-    links = bucket_links(candidate_buckets(distinct.select("fp"), plan(distinct, radius)), radius)
-    member = stored(components(stored(links, "links")), "members")
-    parts = parts.join(member, parts.fp == member.node, "left").withColumn("cls", F.coalesce("root", "fp"))
-    end = F.struct("least_id", "text_hash")
-    ends = parts.groupBy("cls").agg(F.min(end)["text_hash"].alias("lo"), F.max(end)["text_hash"].alias("hi")).where("lo <> hi")
-    pairs = parts.join(ends, "cls").select(F.col("text_hash").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
-    pairs = stored(pairs, "pairs")
-    wanted = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "wanted")
-    held = docs.select(_text_hash(text_col), utf8(text_col).alias("t")).join(small_side(wanted), F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
-    held = stored(held, "held")
-    both = pairs.join(held.select(F.col("text_hash").alias("a"), "t"), "a").join(held.select(F.col("text_hash").alias("b"), F.col("t").alias("u")), "b")
-    similar = stored(both.select("a", "b", "t", "u").mapInArrow(verify, "a bigint, b bigint"), "similar")
-    member = stored(components(similar), "members")
+    kind = "doc_id bigint, text_hash bigint, size int, prefix array<bigint>, odd array<bigint>, low array<bigint>"
+    rows = stored(source.mapInArrow(sketch, kind), "sketches")
+    texts = stored(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "prefix", "odd", "low")]), "texts")
+    parts = texts.select("text_hash", "size", F.explode("prefix").alias("token"))
+    hot = stored(parts.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > small).select("token"), "hot")
+    odd = [F.col("low")[k].alias(f"o{k}") for k in range(PARITY)]
+    pairs = stored(small_pairs(parts.join(small_side(hot), "token", "left_anti"), similarity), "pairs")
+    x = texts.select(F.col("text_hash").alias("a"), "size", *odd)
+    y = texts.select(F.col("text_hash").alias("b"), F.col("size").alias("size_"), *[o.alias(f"p{k}") for k, o in enumerate(odd)])
+    links = verified(stored(pairs.join(x, "a").join(y, "b").where(_may_be(similarity)).select("a", "b"), "pairs"))
+    member = stored(components(links), "members")
+    if not hot.isEmpty():
+        left = texts.select("text_hash", "size", *odd, F.explode("prefix").alias("token")).join(small_side(hot), "token", "left_semi")
+        member = hot_members(stored(left, "hot_parts"), links, member, verified, similarity)
     named = texts.join(member, texts.text_hash == member.node, "left").select("text_hash", "least_id", F.coalesce("root", "text_hash").alias("class_fp"))
     classes = named.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
     found = named.join(classes, "class_fp").select(F.col("text_hash").alias("hash_"), "class_fp", "component_id")
     return rows.join(found, rows.text_hash == found.hash_).select("doc_id", "text_hash", "class_fp", "component_id")
 
 
+def _may_be(similarity: float):
+    """Whether sizes and parity bits allow the similarity; sets as similar differ in (1 - s) / (1 + s) of the sum of their sizes at most."""
+    differ = sum((F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"p{k}"))) for k in range(PARITY)), F.lit(0))
+    far = (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("size_")) + 1e-9
+    return (F.least("size", "size_") >= similarity * F.greatest("size", "size_") - 1e-9) & (differ <= far)
+
+
+def hot_members(left: DataFrame, links: DataFrame, member: DataFrame, verified, similarity: float) -> DataFrame:
+    """``node, root``: the components of member joined further by the texts that share hot tokens.
+
+    In each round some texts of each token (that with most links, from the second on others by a hash, eight times as many each round) are
+    compared with all others of the token that are not of their class yet, and leave it. A token is done when its texts are of
+    one class, at the latest when all have been compared.
+    """
+    columns, many = left.columns, 1
+    while True:
+        degree = links.select(F.explode(F.array("a", "b")).alias("n_")).groupBy("n_").agg(F.count("*").alias("degree"))
+        now = left.join(small_side(member), F.col("text_hash") == F.col("node"), "left").withColumn("root", F.coalesce("root", "text_hash")).drop("node")
+        now = now.join(small_side(stored(degree, "degrees")), F.col("text_hash") == F.col("n_"), "left").drop("n_")
+        now = stored(now.withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("text_hash"))).drop("degree"), "hot_now")
+        stats = now.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("top"))
+        stats = stored(stats.where("lo <> hi").select("token", "n", "top"), "hot_tokens")
+        if stats.isEmpty():
+            return member
+        first = (F.col("rank") == F.col("top")) | (F.pmod(F.xxhash64("text_hash", F.lit(many)), "n") < many - 1)
+        now = stored(now.join(small_side(stats), "token").withColumn("first", first).select(*columns, "root", "first"), "hot_now")
+        x = now.where("first").select("token", F.col("text_hash").alias("b"), F.col("size").alias("size_"), F.col("root").alias("root_"), *[F.col(f"o{k}").alias(f"p{k}") for k in range(PARITY)])
+        both = now.join(small_side(x), (now.token == x.token) & (F.col("root") != F.col("root_")) & _may_be(similarity))
+        pairs = stored(both.select(F.least("text_hash", "b").alias("a"), F.greatest("text_hash", "b").alias("b")).distinct(), "pairs")
+        left, many = now.where("not first").select(*columns), 2 if many == 1 else many * 8
+        if not pairs.isEmpty():
+            links = links.unionByName(verified(pairs))
+            member = stored(components(links), "members")
+
+
 def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of every class (of ``near_duplicates`` or ``similar_documents``): that with the smallest id, of several texts
     under that id the one of the smallest hash. A row that is repeated as a whole under that id stays once.

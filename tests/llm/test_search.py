@@ -220,3 +220,32 @@ def test_audio_codecs(spark, tmp_path):
         store_pcm(encode_audio(docs, codec), path)
         rows = {r.id: r for r in spark.read.parquet(path).collect()}
         assert rows[1].pcm == rows[2].pcm and len(rows[1].pcm) == 4 * (121 if codec == "adpcm" else 64)
+
+
+@pytest.mark.parametrize("small", [4, 32])
+def test_similar_documents_of_one_original(spark, small):
+    """Independently edited copies of one text, all similar to it only, are one class wherever its id lies."""
+    import random
+
+    from loomgraph.llm.simhash import similar_documents
+
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    rows, want = [], []
+    for n_words, copies in ((120, 24), (400, 60)):
+        base, group = [word() for _ in range(n_words)], []
+        for c in range(copies):
+            w = list(base)
+            for k in rnd.sample(range(n_words // 8), n_words // 60) if c else []:
+                w[8 * k + rnd.randrange(8)] = word()
+            group.append(" ".join(w))
+        ids = rnd.sample(range(1000 * len(want), 1000 * len(want) + 999), copies)
+        ids[0] = sorted(ids)[copies // 2] if ids[0] in (min(ids), max(ids)) else ids[0]
+        ids = [ids[0], *[i for i in ids[1:] if i != ids[0]]]
+        rows += list(zip(ids, group))
+        want.append(min(ids))
+    passage = [word() for _ in range(40)]  # a passage that many texts have does not make them similar
+    rows += [(5000 + k, " ".join([word() for _ in range(60)] + passage + [word() for _ in range(60)])) for k in range(50)]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), **({} if small == 32 else {"small": small})).collect()}
+    assert len(got) == len(rows)
+    assert all(got[d] == (want[d // 1000] if d < 5000 else d) for d, _ in rows)
