@@ -30,7 +30,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 # Weak patterns, ours.
 ID = r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AKIA)[A-Z0-9]{6,13}(?![A-Z0-9])"
-KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,60}[0-9])(?=[A-Za-z0-9+/]{0,60}[A-Z])[A-Za-z0-9+/]{24,64}(?![A-Za-z0-9+/])"
+KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])[A-Za-z0-9+/]{24,}+"
 ENDPOINT = r"""https?://[^\s"'<>]{4,}"""
 
 #: kind, pattern, a cheap necessary condition, part it plays, whether it stands alone.

@@ -66,6 +66,14 @@ def test_weak_secrets_need_each_other(spark):
     assert got[5] == "endpoint:0:24,key:25:65"
 
 
+def test_long_weak_secrets(spark):
+    from loomgraph.llm.secret_scan import secret_digest
+
+    rows = [(n, f"ASIA12345678 {(chr(120) * (n - 2))}A1 end") for n in (23, 24, 64, 65, 86, 30000)] + [(1, f"ASIA12345678 {'x' * 90}A")]
+    got = {r.doc_id: r.spans for r in secret_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {n: "" if n in (1, 23) else f"id:0:12,key:13:{13 + n}" for n, _ in rows}
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
