@@ -11,7 +11,17 @@ from pyspark.sql import functions as F
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of a batch that is sent to a Python worker; texts may be long, and every task holds a batch in the JVM and one in Python.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, whatever the number of their rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +36,7 @@ def utf8(name: str) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    lean(spark)
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
@@ -53,9 +64,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def sliced(batches, rows: int = 1000):
@@ -65,6 +76,49 @@ def sliced(batches, rows: int = 1000):
             yield b.slice(lo, rows)
 
 
+class WordHashes:
+    """64-bit hashes of words, those seen kept; ``fold`` maps a text's bytes so that words are parted by spaces."""
+
+    def __init__(self, fold):
+        import xxhash
+
+        self.hash, self.fold, self.seen = xxhash.xxh64_intdigest, fold, {}
+
+    def of(self, data: bytes):
+        import numpy as np
+
+        words, seen = self.fold(data).split(), self.seen
+        new = {w for w in words if w not in seen}
+        if new:
+            if len(seen) > 200_000:
+                seen.clear()
+                new = set(words)
+            seen.update((w, self.hash(w)) for w in new)
+        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+
+
+def word_grams(words, n: int):
+    """A 64-bit hash of every n word hashes in a row; ``words`` has n at least."""
+    import numpy as np
+
+    h = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        h = (h ^ words[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def per_process(name: str, make):
     """A value made once in a Python worker and kept from task to task; only the last one asked for is kept."""
     import sys

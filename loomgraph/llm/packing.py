@@ -23,10 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, table
+from .common import lean, per_process, table
 
 MAX_TOKENS, MAX_SEGMENTS, POOL, END_ID = 2048, 128, 1024, 1
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 #: Texts of these characters only are split here just as the tokenizer splits them, after lower-casing.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\u00c0-\u00ff\u2010-\u2027\u2030-\u205e]*")
 # Fixed value: the tokenizer's own split pattern, for those characters.
@@ -205,6 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         emit(packer.finish())
         yield batch()
 
+    lean(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, schema)

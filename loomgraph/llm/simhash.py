@@ -17,10 +17,11 @@ a spanning forest, not as all pairs.
 Components: alternating large-star and small-star steps over the links, cut by checkpoints, until nothing changes.
 
 Similar documents: a whole text's SimHash differs in ten bits and more at a similarity of 0.8, for which no partition of 64 bits
-is selective. ``similar_documents`` is therefore exact by prefixes: of the hashes of a text's shingles, in order, so many of the
-first are tokens that a set as similar has a number of them among its own. Texts that share so many tokens are compared, unless
-their sizes or the parity bits of their sets exclude the similarity; texts that share a token that many have are compared until
-they are of one class. No pair of the similarity or more is left out.
+is selective. ``similar_documents`` is therefore exact by prefixes: of the hashes of a text's shingles, in an order that puts
+hot ones (of many texts) last, so many of the first are tokens that a set as similar has a number of them among its own. Texts
+that share so many cold tokens are compared, unless their sizes or the parity bits of their sets exclude the similarity. Texts
+whose first tokens reach the hot ones, which is to say that nearly all of them are hot, are compared by hot tokens too, until
+those that have one are of one class. No pair of the similarity or more is left out.
 
 Defined cases: null and empty texts have fingerprint zero and link like others; fewer words than a shingle are one shingle;
 rows with equal text or equal ids are rows of their own with one class; the class's name is its smallest non-null id (null if it
@@ -33,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced, small_side, stored, table, utf8
+from .common import WordHashes, checkpointed, fresh, per_process, sliced, small_side, stored, table, utf8, word_grams
 
 RADIUS, SHINGLE, BUCKET, SMALL = 2, 3, 4096, 32
 
@@ -297,18 +298,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def shingle_hashes(data: bytes, shingle: int = 5) -> np.ndarray:
-    """The different hashes of a text's word shingles, in order."""
-    import xxhash
-
-    words, hash_ = data.lower().split(), xxhash.xxh64_intdigest
-    if not words:
-        return np.zeros(0, np.uint64)
-    n = max(1, len(words) - shingle + 1)
-    text = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
-    ends = (ends[len(words) - n :] - 1).tolist()
-    return np.unique(np.fromiter((hash_(text[a:z]) for a, z in zip(starts, ends)), np.uint64, n))
+    """The different hashes of a text's word shingles, in order; fewer words are one shingle, no word is the shingle 0."""
+    words = per_process("shingle_words", lambda: WordHashes(bytes.lower)).of(data)
+    return np.unique(word_grams(words, min(shingle, len(words)))) if len(words) else np.zeros(1, np.uint64)
 
 
 def needed(n: int, similarity: float) -> int:
@@ -321,6 +313,11 @@ def in_common(n):
     return 1 + n // 32
 
 
+def overlap(n, m, similarity: float):
+    """How many elements sets of n and m elements have in common at the similarity."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
+
+
 def parity(hashes: np.ndarray) -> np.ndarray:
     """Bits: whether the number of hashes dealt to the bit is odd. Two sets' bits differ at most as often as the sets.
 
@@ -338,35 +335,99 @@ def fold(odd: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(odd.reshape(-1, words), axis=0)
 
 
-PARITY = 8
+PARITY, FEW = 8, 128
+#: Tokens (of 8 bytes) up to which a list of them is broadcast.
+TOKENS = 1_000_000
+_HASH = "text_hash bigint"
+
+
+def set_table(texts: DataFrame, shingle: int) -> DataFrame:
+    """``text_hash, hashes``: all shingle hashes of ``text_hash, t``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in sliced(batches, 100):
+            sets = [shingle_hashes(x.as_py(), shingle).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["text_hash", "hashes"])
+
+    return texts.select("text_hash", "t").mapInArrow(run, f"{_HASH}, hashes array<bigint>")
+
+
+def demoted(texts: DataFrame, read, shingle: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """``token``: the hot tokens, of over ``small`` texts; and ``text_hash, hashes, p`` of the texts with too few cold ones in ``prefix``.
+
+    What follows the prefix of the latter is counted too, until no text is added.
+    """
+    firsts = texts.select("text_hash", "p", F.size("prefix").alias("e"), F.explode("prefix").alias("token"))
+    hot = new = stored(firsts.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > small).select("token"), "hot")
+    sets, held = None, None
+    while not new.isEmpty():
+        n = firsts.join(small_side(new, TOKENS), "token", "left_semi").groupBy("text_hash", "p", "e").agg(F.count("*").alias("n"))
+        held = n if held is None else held.unionByName(n).groupBy("text_hash", "p", "e").agg(F.sum("n").alias("n"))
+        held = stored(held, "held")
+        short = held.where("e - n < p").drop("n")
+        short = stored(short if sets is None else short.join(sets, "text_hash", "left_anti"), "short")
+        if short.isEmpty():
+            break
+        more = stored(set_table(read(short), shingle).join(short, "text_hash"), "sets")
+        sets = more if sets is None else sets.unionByName(more)
+        rest = more.select(F.explode(F.expr("slice(hashes, e + 1, size(hashes))")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        new = stored(rest.where(F.col("n") > small).select("token").join(hot, "token", "left_anti"), "hot")
+        hot = hot.unionByName(new)
+    sets = texts.select("text_hash", F.col("prefix").alias("hashes"), "p").where("false") if sets is None else sets.drop("e")
+    return hot, sets
+
+
+def first_tokens(texts: DataFrame, read, shingle: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """``text_hash, size, token, hot`` of the cold tokens among a text's first, and the same of the hot ones.
+
+    The order of tokens puts hot ones last. ``hot`` is the number of a text's hot tokens if its first tokens reach them (so all
+    its cold ones are among the first), else 0.
+    """
+    hot, sets = demoted(texts, read, shingle, small)
+    common = sets.select("text_hash", F.explode("hashes").alias("token")).join(small_side(hot, TOKENS), "token", "left_semi")
+    common = common.groupBy("text_hash").agg(F.sort_array(F.collect_list("token")).alias("common"))
+    own = F.array_except("hashes", "common")
+    reach = F.greatest(F.col("p") - F.size("own"), F.lit(0))
+    warm = sets.join(common, "text_hash").select("text_hash", F.size("hashes").alias("size"), "p", own.alias("own"), "common")
+    warm = stored(warm.select("text_hash", "size", F.when(reach > 0, F.size("common")).otherwise(0).alias("hot"), F.expr("slice(own, 1, p)").alias("own"), F.slice("common", F.lit(1), reach).alias("common")), "warm")
+    cold = texts.join(small_side(stored(warm.select("text_hash"), "warm_ids")), "text_hash", "left_anti")
+    cold = cold.select("text_hash", "size", F.explode("prefix").alias("token"), F.lit(0).alias("hot")).join(small_side(hot, TOKENS), "token", "left_anti")
+    cold = cold.unionByName(warm.select("text_hash", "size", F.explode("own").alias("token"), "hot"))
+    return cold, warm.where("hot > 0").select("text_hash", "size", F.explode("common").alias("token"), "hot")
 
 
 def small_pairs(parts: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: all pairs of texts that share tokens enough and whose sizes allow the similarity."""
+    """``a, b``: all pairs of texts that share cold tokens enough and whose sizes allow the similarity.
 
-    def paired(tokens, texts, sizes):
-        out_a, out_b, out_s = [], [], []
+    Enough are as many as two texts' first tokens must have in common; where both reach hot tokens, so many as reach the
+    similarity if all hot tokens of one are in common.
+    """
+
+    def paired(tokens, texts, sizes, hots):
+        out_a, out_b, out_n = [], [], []
         at, shift = np.arange(len(tokens)), 1
         while len(at):
             at = at[at + shift < len(tokens)]
             at = at[tokens[at] == tokens[at + shift]]
             x, y = sizes[at], sizes[at + shift]
             near = at[np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9]
+            x, y, hot = sizes[near], sizes[near + shift], np.minimum(hots[near], hots[near + shift])
             out_a.append(texts[near])
             out_b.append(texts[near + shift])
-            out_s.append((sizes[near], sizes[near + shift]))
+            out_n.append(np.where(hot > 0, overlap(x, y, similarity) - hot, in_common(np.minimum(x, y))))
             shift += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        low = np.concatenate([np.minimum(*z) for z in out_s]) if out_s else np.zeros(0, np.int64)
+        a, b, least = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, out_n))
         order = np.lexsort((np.maximum(a, b), np.minimum(a, b)))
-        a, b, low = np.minimum(a, b)[order], np.maximum(a, b)[order], low[order]
+        a, b, least = np.minimum(a, b)[order], np.maximum(a, b)[order], least[order]
         at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
-        return a[at], b[at], low[at], np.diff(np.append(at, len(a)))
+        return a[at], b[at], least[at], np.diff(np.append(at, len(a)))
 
     def run(batches):
         import pyarrow as pa
 
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         for b in _with_end(batches):
             if b is not None:
                 held = [np.concatenate([h, b.column(k).to_numpy()]) for k, h in enumerate(held)]
@@ -375,11 +436,11 @@ def small_pairs(parts: DataFrame, similarity: float) -> DataFrame:
             cut = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))
             found = paired(*[h[:cut] for h in held])
             held = [h[cut:] for h in held]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "low", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b", "least", "n"])
 
-    dealt = parts.select("token", "text_hash", F.col("size").cast("bigint")).repartition("token").sortWithinPartitions("token")
-    found = dealt.mapInArrow(run, "a bigint, b bigint, low bigint, n bigint").groupBy("a", "b").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
-    return found.where(F.col("n") >= 1 + F.floor(F.col("low") / 32)).select("a", "b")
+    dealt = parts.select("token", "text_hash", F.col("size").cast("bigint"), F.col("hot").cast("bigint")).repartition("token").sortWithinPartitions("token")
+    found = dealt.mapInArrow(run, "a bigint, b bigint, least bigint, n bigint").groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("n").alias("n"))
+    return found.where("n >= least").select("a", "b")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, small: int = SMALL) -> DataFrame:
@@ -388,22 +449,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def sketch(batches):
         import pyarrow as pa
 
-        for b in sliced(batches):
-            sizes, prefixes, odd, low = [], [], [], []
+        for b in sliced(batches, 200):
+            sizes, firsts, prefixes, odd, low = [], [], [], [], []
             for x in b.column(2):
                 h = shingle_hashes(x.as_py(), shingle)
                 sizes.append(len(h))
-                prefixes.append(h[: len(h) - needed(len(h), similarity) + in_common(len(h))].view(np.int64) if len(h) else [0])
+                firsts.append(min(len(h), len(h) - needed(len(h), similarity) + in_common(len(h))))
+                prefixes.append(h[: firsts[-1] + firsts[-1] // 8 + 4].view(np.int64))
                 odd.append(parity(h))
                 low.append(fold(odd[-1], PARITY))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(prefixes, longs), pa.array(odd, longs), pa.array(low, longs)], names=["doc_id", "text_hash", "size", "prefix", "odd", "low"])
+            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(firsts, pa.int32()), pa.array(prefixes, longs), pa.array(odd, longs), pa.array(low, longs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "size", "p", "prefix", "odd", "low"])
 
     def verify(batches):
         import pyarrow as pa
 
         last: dict[int, np.ndarray] = {}
-        for b in sliced(batches):
+        for b in sliced(batches, 100):
             a, z, ok = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for p, t, u in zip(z, b.column(2), b.column(3)):
                 if p not in last:
@@ -424,35 +487,38 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 ok.append(_popcount(fold(x, words) ^ fold(y, words)).sum() <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
+    def read(wanted: DataFrame) -> DataFrame:
+        held = docs.select(_text_hash(text_col), utf8(text_col).alias("t")).join(small_side(wanted.select(F.col("text_hash").alias("w"))), F.col("text_hash") == F.col("w"), "left_semi")
+        return held.dropDuplicates(["text_hash"]).select("text_hash", "t")
+
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = (texts.select(F.col("text_hash").alias(c), F.col("size").alias(f"n{c}"), F.col("odd").alias(f"x{c}")) for c in "ab")
         pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb")
         pairs = stored(pairs.mapInArrow(sieve, "a bigint, b bigint"), "sieved")
-        wanted = stored(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "wanted")
-        held = docs.select(_text_hash(text_col), utf8(text_col).alias("t")).join(small_side(wanted), F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
-        held = stored(held.select("text_hash", "t"), "held")
+        wanted = stored(pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct(), "wanted")
+        held = stored(read(wanted), "held")
         both = pairs.join(held.select(F.col("text_hash").alias("a"), "t"), "a").join(held.select(F.col("text_hash").alias("b"), F.col("t").alias("u")), "b")
         return stored(both.select("a", "b", "t", "u").mapInArrow(verify, "a bigint, b bigint"), "similar")
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _text_hash(text_col), utf8(text_col))
-    kind = "doc_id bigint, text_hash bigint, size int, prefix array<bigint>, odd array<bigint>, low array<bigint>"
-    rows = stored(source.mapInArrow(sketch, kind), "sketches")
-    texts = stored(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "prefix", "odd", "low")]), "texts")
-    parts = texts.select("text_hash", "size", F.explode("prefix").alias("token"))
-    hot = stored(parts.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > small).select("token"), "hot")
+    kind = "doc_id bigint, text_hash bigint, size int, p int, prefix array<bigint>, odd array<bigint>, low array<bigint>"
+    texts = source.mapInArrow(sketch, kind).groupBy("text_hash")
+    texts = stored(texts.agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "p", "prefix", "odd", "low")]), "texts")
+    cold, hot = first_tokens(texts, read, shingle, small)
     odd = [F.col("low")[k].alias(f"o{k}") for k in range(PARITY)]
-    pairs = stored(small_pairs(parts.join(small_side(hot), "token", "left_anti"), similarity), "pairs")
+    pairs = stored(small_pairs(cold, similarity), "pairs")
     x = texts.select(F.col("text_hash").alias("a"), "size", *odd)
     y = texts.select(F.col("text_hash").alias("b"), F.col("size").alias("size_"), *[o.alias(f"p{k}") for k, o in enumerate(odd)])
     links = verified(stored(pairs.join(x, "a").join(y, "b").where(_may_be(similarity)).select("a", "b"), "pairs"))
     member = stored(components(links), "members")
     if not hot.isEmpty():
-        left = texts.select("text_hash", "size", *odd, F.explode("prefix").alias("token")).join(small_side(hot), "token", "left_semi")
+        left = hot.join(texts.select("text_hash", *odd), "text_hash")
         member = hot_members(stored(left, "hot_parts"), links, member, verified, similarity)
     named = texts.join(member, texts.text_hash == member.node, "left").select("text_hash", "least_id", F.coalesce("root", "text_hash").alias("class_fp"))
     classes = named.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
     found = named.join(classes, "class_fp").select(F.col("text_hash").alias("hash_"), "class_fp", "component_id")
-    return rows.join(found, rows.text_hash == found.hash_).select("doc_id", "text_hash", "class_fp", "component_id")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _text_hash(text_col))
+    return rows.join(found, F.col("text_hash") == F.col("hash_")).select("doc_id", "text_hash", "class_fp", "component_id")
 
 
 def _may_be(similarity: float):
@@ -463,28 +529,31 @@ def _may_be(similarity: float):
 
 
 def hot_members(left: DataFrame, links: DataFrame, member: DataFrame, verified, similarity: float) -> DataFrame:
-    """``node, root``: the components of member joined further by the texts that share hot tokens.
+    """``node, root``: the components of member joined further by the texts that share hot tokens and no cold first token.
 
-    In each round some texts of each token (that with most links, from the second on others by a hash, eight times as many each round) are
-    compared with all others of the token that are not of their class yet, and leave it. A token is done when its texts are of
-    one class, at the latest when all have been compared.
+    Such texts have hot tokens only in common, so as many of either as the similarity takes must be hot. In each round some texts
+    of each token (all if it has ``FEW``, else that with the largest part of hot tokens, from the second on others by a hash, 64 times as many each
+    round) are compared with all others of the token that are not of their class yet, and leave it. A token is done when its
+    texts are of one class or none can have a partner, at the latest when all have been compared.
     """
-    columns, many = left.columns, 1
+    columns, many, share = left.columns, 1, similarity / (1 + similarity)
     while True:
-        degree = links.select(F.explode(F.array("a", "b")).alias("n_")).groupBy("n_").agg(F.count("*").alias("degree"))
         now = left.join(small_side(member), F.col("text_hash") == F.col("node"), "left").withColumn("root", F.coalesce("root", "text_hash")).drop("node")
-        now = now.join(small_side(stored(degree, "degrees")), F.col("text_hash") == F.col("n_"), "left").drop("n_")
-        now = stored(now.withColumn("rank", F.struct(F.coalesce("degree", F.lit(0)), F.xxhash64("text_hash"))).drop("degree"), "hot_now")
+        now = now.withColumn("rank", F.struct(F.round(F.col("hot") / F.col("size"), 3), F.xxhash64("text_hash")))
+        sizes = now.groupBy("token").agg(F.min("size").alias("least"))
+        now = now.join(small_side(stored(sizes, "hot_sizes")), "token")
+        now = stored(now.where(F.col("hot") >= share * (F.col("size") + F.greatest("least", similarity * F.col("size"))) - 1e-9).drop("least"), "hot_now")
         stats = now.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rank").alias("top"))
         stats = stored(stats.where("lo <> hi").select("token", "n", "top"), "hot_tokens")
         if stats.isEmpty():
             return member
-        first = (F.col("rank") == F.col("top")) | (F.pmod(F.xxhash64("text_hash", F.lit(many)), "n") < many - 1)
+        first = (F.col("n") <= FEW) | (F.col("rank") == F.col("top")) | (F.pmod(F.xxhash64("text_hash", F.lit(many)), "n") < many - 1)
         now = stored(now.join(small_side(stats), "token").withColumn("first", first).select(*columns, "root", "first"), "hot_now")
-        x = now.where("first").select("token", F.col("text_hash").alias("b"), F.col("size").alias("size_"), F.col("root").alias("root_"), *[F.col(f"o{k}").alias(f"p{k}") for k in range(PARITY)])
-        both = now.join(small_side(x), (now.token == x.token) & (F.col("root") != F.col("root_")) & _may_be(similarity))
+        x = now.where("first").select("token", F.col("text_hash").alias("b"), F.col("size").alias("size_"), F.col("hot").alias("hot_"), F.col("root").alias("root_"), *[F.col(f"o{k}").alias(f"p{k}") for k in range(PARITY)])
+        enough = F.least("hot", "hot_") >= share * (F.col("size") + F.col("size_")) - 1e-9
+        both = now.join(small_side(x), (now.token == x.token) & (F.col("root") != F.col("root_")) & enough & _may_be(similarity))
         pairs = stored(both.select(F.least("text_hash", "b").alias("a"), F.greatest("text_hash", "b").alias("b")).distinct(), "pairs")
-        left, many = now.where("not first").select(*columns), 2 if many == 1 else many * 8
+        left, many = now.where("not first").select(*columns), many * 64
         if not pairs.isEmpty():
             links = links.unionByName(verified(pairs))
             member = stored(components(links), "members")
@@ -496,10 +565,11 @@ def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", tex
     """
     found = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     each = found.groupBy("class_fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).groupBy("class_fp").agg(F.min(F.struct("text_hash", "doc_id", "n")).alias("r"))
-    kept = stored(each.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"), F.col("r.n").alias("__n")), "kept")
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (_text_hash(text_col) == F.col("__hash"))
-    once = docs.join(kept.where("__n = 1"), same, "left_semi")
-    repeated = kept.where("__n > 1")
+    at, hash_, many = fresh(docs, "kept_id", "kept_hash", "kept_n")
+    kept = stored(each.select(F.col("r.doc_id").alias(at), F.col("r.text_hash").alias(hash_), F.col("r.n").alias(many)), "kept")
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(at)) & (_text_hash(text_col) == F.col(hash_))
+    once = docs.join(kept.where(F.col(many) == 1), same, "left_semi")
+    repeated = kept.where(F.col(many) > 1)
     if repeated.isEmpty():
         return once
     return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))
