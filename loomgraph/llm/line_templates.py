@@ -1,19 +1,24 @@
 """Line deduplication by a log-template tree.
 
 A line is parsed at fixed depth: its leaf is its token count and its leading ``LEAD`` tokens; tokens with a digit are variable
-fields and become one wildcard. In a leaf, lines fall together that agree in all tokens, or in all but one after the leading
-ones (for lines of ``GENERAL`` tokens, whose other tokens fix enough); the differing place is a variable field too. So every
-line belongs to its own template and to those with one more field generalised; each is a 64-bit sum over places of token
-hashes, from which any place can be taken out and put back as a wildcard. A template's count is the number of document rows
-with it; counts are sums of partial sums over all rows, and no task ever holds a leaf.
-
-A line is dropped if a template of it occurs in ``MIN_DOCS`` rows or more and ``OUTSTANDING`` times as many as the document's
-text at large: the count below which half of its words lie. Lines that recur because whole documents were copied, all alike,
-are left for near-duplicate removal; what is dropped recurs across documents that are otherwise different.
-
-Defined cases: null texts stay null, empty and blank lines are never dropped and count for nothing; a repeated line in one
-document counts once; rows that repeat as a whole count each and are treated alike; rows of one id with different texts are
-different documents; ties keep the line; the lines that stay keep their order; at least one line of every text stays.
+fields and become one wildcard. In a leaf of ``MIN_DOCS`` texts or more, the fields are told by how many texts have a token at
+its place: fewer than ``MIN_DOCS``, or (in a second, coarser generalisation) than a ``COARSE`` part of the leaf's texts, make the
+place a variable field. What is left is the line's template, whatever the number and the places of its fields; a template
+needs a third of constant tokens and at most a third of fields without digits. A template's count is the number of different
+texts that have it.
+
+A line is dropped if a template of it occurs in ``MIN_DOCS`` texts or more and ``OUTSTANDING`` times as many as the text at
+large. What the text at large has is told by the support of its lines, the median over a line's places of the number of texts
+with its token there: the lesser of the support that half of its lines, and half of its words, do not exceed. Copies edited here
+and there support each other's lines, changed ones too, so what recurs because whole documents were copied is left for
+near-duplicate removal; what is dropped recurs across documents that are otherwise different.
+
+All counts are sums of partial sums; no task holds a leaf. Only lines of recurring leaves are looked at token by token.
+
+Defined cases: null texts stay null; empty and blank lines are never dropped and count for nothing; an empty table gives an
+empty one; equal texts count once and are treated alike, whatever their ids; a line that a text repeats counts once; ties keep
+the line; the lines that stay keep their order, and of every text the line of least support stays; texts are never cut, however
+long; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, sliced, small_side, stored, table
+from .common import fresh, per_process, sliced, small_side, stored, table
 
-LEAD, GENERAL, MIN_DOCS, OUTSTANDING = 2, (6, 24), 20, 3
-_KEY = ["__id", "__hash"]
+LEAD, MIN_DOCS, OUTSTANDING, COARSE = 2, 20, 3, 0.1
+WILD = 0
 
 
 class TokenHashes:
@@ -37,98 +42,110 @@ class TokenHashes:
         import xxhash
 
         self.hash, self.digit, self.seen = xxhash.xxh64_intdigest, re.compile(rb"[0-9]").search, {}
-        self.wild = self.hash(b"<*>")
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
+    def leaf(self, tokens: list[bytes]) -> int:
+        """Hash of the token count and the leading tokens, never 0."""
+        lead = [b"<*>" if self.digit(t) else t for t in tokens[:LEAD]]
+        return (self.hash(b"\0".join([b"%d" % len(tokens), *lead])) or 1) - (1 << 63)
+
+    def of(self, tokens: list[bytes]) -> list[int]:
         seen = self.seen
-        new = {t for t in tokens if t not in seen}
-        if new:
-            if len(seen) > 200_000:
-                seen.clear()
-                new = set(tokens)
-            seen.update((t, self.wild if self.digit(t) else self.hash(t)) for t in new)
-        return np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
-
-
-def powers(n: int) -> np.ndarray:
-    """Odd weights of places."""
-    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def line_keys(data: bytes, hashes: TokenHashes) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Keys of all templates of a text's lines, the line of each, and each line's number of tokens."""
-    split = [line.split() for line in data.split(b"\n")]
-    sizes = [len(s) for s in split]
-    counts = np.array(sizes)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), sizes
-    h = hashes.of([t for s in split for t in s])
-    n = counts[full]
-    starts = np.cumsum(n) - n
-    place = np.arange(len(h)) - np.repeat(starts, n)
-    weight = powers(int(n.max()))[place]
-    total = np.add.reduceat(h * weight, starts) + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    general = np.repeat((n >= GENERAL[0]) & (n <= GENERAL[1]), n) & (place >= LEAD) & (h != np.uint64(hashes.wild))
-    line = np.repeat(np.arange(len(n)), n)[general]
-    wild = total[line] + (np.uint64(hashes.wild) - h[general]) * weight[general]
-    return np.concatenate([total, wild]), full[np.concatenate([np.arange(len(n)), line])].astype(np.int32), sizes
-
-
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``__id, __hash, words, lines, keys, firsts``: per row, its words and, for each template of a line, line, key and whether
-    the key is the row's first of its kind."""
+        if len(seen) > 100_000:
+            seen.clear()
+        for t in tokens:
+            if t not in seen:
+                seen[t] = WILD if self.digit(t) else (self.hash(t) or 1) - (1 << 63)
+        return [seen[t] for t in tokens]
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text).alias("h"), text.cast("binary").alias("t"))
+
+
+def leaf_table(docs: DataFrame, text_col: str) -> DataFrame:
+    """``h, leaves, sizes`` of every different text: each line's leaf (0: blank) and number of tokens."""
 
     def run(batches):
         import pyarrow as pa
 
         hashes = per_process("token_hashes", TokenHashes)
-        names = ["__id", "__hash", "sizes", "lines", "keys", "firsts"]
         for b in sliced(batches):
-            out = []
-            for x in b.column(2):
-                keys, lines, sizes = line_keys(x.as_py(), hashes)
-                first = np.zeros(len(keys), bool)
-                first[np.unique(keys, return_index=True)[1]] = True
-                out.append((sizes, lines, keys.view(np.int64), first))
-            cols = list(zip(*out)) if out else [()] * 4
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), pa.list_(k)) for c, k in zip(cols, kinds)]], names=names)
-
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("__id"), F.xxhash64(F.col(text_col).cast("string")).alias("__hash"), F.col(text_col).cast("string").cast("binary"))
-    return rows.mapInArrow(run, "__id bigint, __hash bigint, sizes array<int>, lines array<int>, keys array<bigint>, firsts array<boolean>")
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, outstanding: float = OUTSTANDING) -> DataFrame:
-    """``__id, __hash, drop``: the numbers (from 0) of lines to drop, for the documents that have any."""
-    lines = stored(line_table(docs, id_col, text_col), "lines")
-    firsts = F.filter(F.arrays_zip("keys", "firsts"), lambda z: z["firsts"])
-    counts = lines.select(F.explode(F.transform(firsts, lambda z: z["keys"])).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    recurring = stored(counts.where(F.col("n") >= min_docs), "templates")
-    flat = lines.select(*_KEY, "sizes", F.explode(F.arrays_zip("lines", "keys")).alias("z"))
-    words = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    flat = flat.select(*_KEY, words.alias("words"), F.col("z.lines").alias("line"), F.col("z.keys").alias("key"), F.element_at("sizes", F.col("z.lines") + 1).alias("w"))
-    found = flat.join(small_side(recurring), "key").repartition(*_KEY)
-    found = found.groupBy(*_KEY, "words", "line", "w").agg(F.max("n").alias("n"))
-    per_doc = found.groupBy(*_KEY, "words").agg(F.sort_array(F.collect_list(F.struct("n", "w", "line"))).alias("a"))
-    other = F.col("words") - F.aggregate("a", F.lit(0).cast("bigint"), lambda s, x: s + x["w"])
-    start = F.struct(other.alias("below"), F.when(other * 2 >= F.col("words"), F.lit(1).cast("bigint")).alias("base"))
-    walk = lambda s, x: F.struct((s["below"] + x["w"]).alias("below"), F.coalesce(s["base"], F.when((s["below"] + x["w"]) * 2 >= F.col("words"), x["n"])).alias("base"))
-    per_doc = per_doc.withColumn("base", F.aggregate("a", start, walk)["base"])
-    drop = F.transform(F.filter("a", lambda x: x["n"] >= F.col("base") * outstanding), lambda x: x["line"])
-    return per_doc.select(*_KEY, F.array_sort(drop).alias("drop")).where(F.size("drop") > 0)
-
-
-def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows and columns of docs, texts without the dropped lines, and ``__dropped`` with their numbers (null: none)."""
-    drops = stored(dropped_lines(docs, id_col, text_col, **kw), "drops").withColumnRenamed("drop", "__drop")
-    key = [F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")), F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash")]
-    joined = docs.join(small_side(drops), key, "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("__drop").alias("__dropped"))
+            split = [[line.split() for line in x.as_py().split(b"\n")] for x in b.column(1)]
+            leaves = [np.array([hashes.leaf(s) if s else 0 for s in lines], np.int64) for lines in split]
+            sizes = [[len(s) for s in lines] for lines in split]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(leaves, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["h", "leaves", "sizes"])
+
+    return _texts(docs, text_col).mapInArrow(run, "h bigint, leaves array<bigint>, sizes array<int>").dropDuplicates(["h"])
+
+
+def parsed_lines(docs: DataFrame, text_col: str, marked: DataFrame) -> DataFrame:
+    """``h, line, leaf, first, tokens`` of the marked lines (``h, lines``); first: no equal line goes before in the text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hashes, names = per_process("token_hashes", TokenHashes), ["h", "line", "leaf", "first", "tokens"]
+        for b in sliced(batches):
+            rows = []
+            for h, lines, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                split, seen = x.as_py().split(b"\n"), set()
+                for k in lines:
+                    words = split[k].split()
+                    rows.append((h, k, hashes.leaf(words), tuple(words) not in seen, hashes.of(words)))
+                    seen.add(tuple(words))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 5, kinds)], names=names)
+
+    rows = _texts(docs, text_col).join(small_side(marked), "h").select("h", "lines", "t")
+    return rows.mapInArrow(run, "h bigint, line int, leaf bigint, first boolean, tokens array<bigint>").dropDuplicates(["h", "line"])
+
+
+def dropped_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_DOCS, outstanding: float = OUTSTANDING) -> DataFrame:
+    """``h, drop``: by hash of the text, the numbers (from 0) of lines to drop, for the texts that have any."""
+    lines = stored(leaf_table(docs, text_col), "lines")
+    leaves = lines.select(F.explode(F.array_distinct(F.filter("leaves", lambda x: x != 0))).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n_leaf"))
+    leaves = stored(leaves.where(F.col("n_leaf") >= min_docs), "leaves")
+    marked = lines.select("h", F.posexplode("leaves").alias("line", "leaf")).join(small_side(leaves), "leaf", "left_semi")
+    marked = stored(marked.groupBy("h").agg(F.sort_array(F.collect_list("line")).alias("lines")), "marked")
+    parsed = stored(parsed_lines(docs, text_col, marked), "parsed")
+    tokens = parsed.select("h", "line", "leaf", "first", F.size("tokens").alias("w"), F.posexplode("tokens").alias("place", "token"))
+    constants = tokens.where("first").groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    constants = stored(constants.join(small_side(leaves), "leaf").select("leaf", "place", "token", "n", (F.col("n") >= F.col("n_leaf") * COARSE).alias("often")), "constants")
+    placed = tokens.join(small_side(constants), ["leaf", "place", "token"], "left")
+    digit, keys = F.col("token") == WILD, []
+    for k, known in enumerate((F.col("n").isNotNull(), F.coalesce("often", F.lit(False)))):
+        said = F.when(known, F.col("token")).otherwise(F.lit(WILD))
+        keys += [F.bit_xor(F.xxhash64("place", said)).alias(f"key{k}"), F.count_if(~known & ~digit).alias(f"wild{k}"), F.count_if(known & ~digit).alias(f"same{k}")]
+    middle = F.sort_array(F.collect_list(F.coalesce("n", F.lit(0).cast("bigint"))))[F.floor((F.col("w") - 1) / 2).cast("int")]
+    whole = stored(placed.groupBy("h", "line", "leaf", "first", "w").agg(middle.alias("support"), *keys), "generalised")
+    fits = lambda k: F.when((F.col(f"wild{k}") * 3 <= F.col("w")) & (F.col(f"same{k}") * 3 >= F.col("w")), F.xxhash64("leaf", f"key{k}"))
+    keyed = whole.select("h", "line", "first", F.explode(F.array_distinct(F.array_compact(F.array(fits(0), fits(1))))).alias("key"))
+    templates = stored(keyed.where("first").select("h", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "templates")
+    found = keyed.join(small_side(templates), "key").groupBy("h", "line").agg(F.max("n").alias("n"))
+    each = whole.select("h", "line", "w", "support").join(found, ["h", "line"], "left")
+    # a text's lines by support, those of leaves that do not recur (support 0) ahead of them as a number of lines and words
+    a = each.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("support", "w", "line", "n"))).alias("a"), F.sum("w").alias("w"), F.count("*").alias("k"))
+    total = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("words")
+    a = a.join(lines.select("h", total, F.size(F.filter("sizes", lambda x: x > 0)).alias("full")), "h")
+    at = F.floor((F.col("full") - 1) / 2).cast("int") - (F.col("full") - F.col("k")).cast("int")
+    by_lines = F.when(at < 0, F.lit(0)).otherwise(F.get("a", at)["support"])
+    other = F.col("words") - F.col("w")
+    start = F.struct(other.alias("below"), F.when(other * 2 >= F.col("words"), F.lit(0).cast("bigint")).alias("base"))
+    walk = lambda s, x: F.struct((s["below"] + x["w"]).alias("below"), F.coalesce(s["base"], F.when((s["below"] + x["w"]) * 2 >= F.col("words"), x["support"])).alias("base"))
+    a = a.withColumn("base", F.greatest(F.least(by_lines, F.aggregate("a", start, walk)["base"]), F.lit(1)))
+    drop = F.transform(F.filter("a", lambda x: x["n"].isNotNull() & (x["n"] >= F.col("base") * outstanding)), lambda x: x["line"])
+    return a.select("h", F.array_sort(drop).alias("drop")).where(F.size("drop") > 0)
+
+
+def drop_templates(docs: DataFrame, text_col: str = "text", mark: str = "__dropped", **kw) -> DataFrame:
+    """The rows and columns of docs, texts without the dropped lines, and a column ``mark`` with their numbers (null: none)."""
+    h, gone = fresh(docs, "text_key", "lines_gone")
+    drops = stored(dropped_lines(docs, text_col, **kw), "drops").select(F.col("h").alias(h), F.col("drop").alias(gone))
+    joined = docs.join(small_side(drops), F.xxhash64(F.col(text_col).cast("string")) == F.col(h), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.col(gone).alias(mark))
 
 
 def op7_line_templates(spark, sf_dir):
