@@ -31,6 +31,8 @@ from .common import fresh, per_process, sliced, small_side, stored, table
 
 LEAD, MIN_DOCS, OUTSTANDING, COARSE = 2, 20, 3, 0.1
 WILD = 0
+#: Leaves (8 bytes each) up to which their list is sent to the workers.
+LISTED = 1_000_000
 
 
 class TokenHashes:
@@ -79,8 +81,18 @@ def leaf_table(docs: DataFrame, text_col: str) -> DataFrame:
     return _texts(docs, text_col).mapInArrow(run, "h bigint, leaves array<bigint>, sizes array<int>").dropDuplicates(["h"])
 
 
-def parsed_lines(docs: DataFrame, text_col: str, marked: DataFrame) -> DataFrame:
-    """``h, line, leaf, first, tokens`` of the marked lines (``h, lines``); first: no equal line goes before in the text."""
+def parsed_lines(docs: DataFrame, text_col: str, lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``h, line, leaf, first, tokens`` of the lines of recurring leaves; first: no equal line goes before in the text.
+
+    Up to ``LISTED`` leaves are sent to the workers, which find the lines by them; more leaves are joined with the texts' lines.
+    """
+    texts, listed = _texts(docs, text_col), leaves.count() <= LISTED
+    shipped = docs.sparkSession.sparkContext.broadcast({r.leaf for r in leaves.select("leaf").collect()} if listed else set())
+    if listed:
+        rows = texts.select("h", F.lit(None).cast("array<int>"), "t")
+    else:
+        marked = lines.select("h", F.posexplode("leaves").alias("line", "leaf")).join(leaves, "leaf", "left_semi")
+        rows = texts.join(marked.groupBy("h").agg(F.sort_array(F.collect_list("line")).alias("lines")), "h").select("h", "lines", "t")
 
     def run(batches):
         import pyarrow as pa
@@ -88,16 +100,17 @@ def parsed_lines(docs: DataFrame, text_col: str, marked: DataFrame) -> DataFrame
         hashes, names = per_process("token_hashes", TokenHashes), ["h", "line", "leaf", "first", "tokens"]
         for b in sliced(batches):
             rows = []
-            for h, lines, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for h, at, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 split, seen = x.as_py().split(b"\n"), set()
-                for k in lines:
+                for k in range(len(split)) if at is None else at:
                     words = split[k].split()
-                    rows.append((h, k, hashes.leaf(words), tuple(words) not in seen, hashes.of(words)))
-                    seen.add(tuple(words))
+                    leaf = hashes.leaf(words) if words else 0
+                    if at is not None or leaf in shipped.value:
+                        rows.append((h, k, leaf, tuple(words) not in seen, hashes.of(words)))
+                        seen.add(tuple(words))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 5, kinds)], names=names)
 
-    rows = _texts(docs, text_col).join(small_side(marked), "h").select("h", "lines", "t")
     return rows.mapInArrow(run, "h bigint, line int, leaf bigint, first boolean, tokens array<bigint>").dropDuplicates(["h", "line"])
 
 
@@ -106,9 +119,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_docs: int = MIN_D
     lines = stored(leaf_table(docs, text_col), "lines")
     leaves = lines.select(F.explode(F.array_distinct(F.filter("leaves", lambda x: x != 0))).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n_leaf"))
     leaves = stored(leaves.where(F.col("n_leaf") >= min_docs), "leaves")
-    marked = lines.select("h", F.posexplode("leaves").alias("line", "leaf")).join(small_side(leaves), "leaf", "left_semi")
-    marked = stored(marked.groupBy("h").agg(F.sort_array(F.collect_list("line")).alias("lines")), "marked")
-    parsed = stored(parsed_lines(docs, text_col, marked), "parsed")
+    parsed = stored(parsed_lines(docs, text_col, lines, leaves), "parsed")
     tokens = parsed.select("h", "line", "leaf", "first", F.size("tokens").alias("w"), F.posexplode("tokens").alias("place", "token"))
     constants = tokens.where("first").groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     constants = stored(constants.join(small_side(leaves), "leaf").select("leaf", "place", "token", "n", (F.col("n") >= F.col("n_leaf") * COARSE).alias("often")), "constants")

@@ -93,9 +93,12 @@ def brute_drops(rows, min_docs, outstanding, coarse=0.1):
     return out
 
 
-def test_line_templates(spark):
+@pytest.mark.parametrize("listed", [1_000_000, 0])
+def test_line_templates(spark, monkeypatch, listed):
+    from loomgraph.llm import line_templates
     from loomgraph.llm.line_templates import drop_templates
 
+    monkeypatch.setattr(line_templates, "LISTED", listed)
     rnd = random.Random(2)
     vocab = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "klm"]
     rows, planted = [], []
