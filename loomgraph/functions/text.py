@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ CLAUSE_RULES = [
 SENTENCE = r"[。！？!?]\s*|\n+"
 CLAUSE = r"(?:，|,)?(?:并且|而且|同时)|[；;]"
 MODAL = r"改成|改为|替换为|必须|需要|应当|使用|采用|should|must|use"
-ASSIGNMENT = r"(?i)^(.{1,48}?)(?:必须|应当|需要|采用|使用|改成|改为|替换为|must|should|use|replaced with|replaced|replace with|replace|changed to|changed|change to|change)\s*[:：]?\s*(.+)$"
+ASSIGNMENT = r"(?i)^(.{1,48}?)(?:必须|应当|需要|采用|使用|改成|改为|替换为|must|should|use|replace(?:d)?(?: with)?|change(?:d)? to)\s*[:：]?\s*(.+)$"
 PROHIBITION = r"(?i)^(.{1,48}?)(?:不能|不得|禁止|must not|should not|without)\s*[:：]?\s*(.+)$"
 
 
@@ -178,9 +180,9 @@ CODE_STARTS = ["$ ", "> ", "... "]
 def code_like(line: Column) -> Column:
     """Whether a line looks like code."""
     bare = F.lower(trim_all(line))
-    marked = F.exists(F.array(*[F.lit(m) for m in CODE_MARKERS]), lambda m: F.contains(bare, m))
-    begun = F.exists(F.array(*[F.lit(m) for m in CODE_STARTS]), lambda m: F.startswith(bare, m))
-    return (bare != "") & (line.rlike(r"^\s") | marked | begun)
+    marked = bare.rlike("|".join(re.escape(m) for m in CODE_MARKERS))
+    begun = bare.rlike("^(?:" + "|".join(re.escape(m) for m in CODE_STARTS) + ")")
+    return (bare != "") & (line.rlike(r"^\s") | begun | marked)
 
 
 def code_language(text: Column) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+SETTLED = 8
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once: as a checkpoint if the session has a folder for them (lost executors lose nothing), else persisted."""
     spark = df.sparkSession
@@ -13,20 +16,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint() if folder else df.persist()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_levels: int = 100) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:
     """``id, depth``: everything reachable from the seeds (``id``) along ``source -> target``, seeds at depth 0, each at its least depth.
 
-    A level is one join of the last frontier; what was seen is left out by an anti join, so cycles end. Every few levels the
-    plan is cut by a checkpoint, if the session has a folder for them.
+    A level is one join of the last frontier; what was seen is left out by an anti join, so cycles end. All levels are gone through
+    unless ``max_levels`` says how many. Each level is cut from the plan before it, every ``SETTLED`` levels what was seen is too.
     """
     step = settle(edges.select("source", F.col("target").alias("id")).distinct())
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     frontier, depth = seen, 0
-    while depth < max_levels:
+    while max_levels is None or depth < max_levels:
         depth += 1
         found = frontier.select(F.col("id").alias("source")).join(step, "source").select("id").distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
         found = settle(found)
         if found.isEmpty():
             break
         seen, frontier = seen.unionByName(found), found
+        if depth % SETTLED == 0:
+            seen = settle(seen)
     return seen

@@ -110,7 +110,7 @@ def select_by_budget(candidates: DataFrame, budget: int, policy: dict | None = N
     Of equal contents the earliest allowed candidate stays, found by an aggregate over hashes and a join. Then an ordered
     fold takes candidates by class, score, priority and place: hard ones always; others only within the item limit, their
     category's share and what is left of the budget, and scanning goes on after one that does not fit. The fold needs the
-    numbers of a request's candidates only (no contents), as one array a request; requests are folded in parallel.
+    numbers of a request's candidates only (no contents), streamed in order; requests are folded in parallel.
     """
     policy = resolve_policy(policy)
     df = prepare(candidates, policy)
@@ -120,37 +120,48 @@ def select_by_budget(candidates: DataFrame, budget: int, policy: dict | None = N
     twin = F.when(F.col("early").isNull() & (F.col("ord") != F.col("first.ord")), F.concat(F.lit("duplicate of "), F.col("first.who")))
     df = df.withColumn("early", F.coalesce("early", twin)).drop("first")
     rank = F.when(F.col("policy_class") == "hard", 0).when(F.col("policy_class") == "soft", 1).otherwise(2)
-    key = F.struct(rank.alias("rank"), (-F.col("score")).alias("s"), (-F.coalesce(F.col("priority"), F.lit(0))).alias("p"), "ord", "tokens", "category")
-    folded = df.where(F.col("early").isNull()).groupBy("request").agg(F.sort_array(F.collect_list(key)).alias("items")).select("request", F.explode(_fold(F.col("items"), budget, policy)).alias("d"))
-    decided = folded.select("request", F.col("d.ord").alias("ord"), F.col("d.why").alias("why"))
+    open_ = df.where(F.col("early").isNull())
+    decided = _fold(open_.select("request", "ord", rank.alias("rank"), (-F.col("score")).alias("s"), (-F.coalesce(F.col("priority"), F.lit(0))).alias("p"), "tokens", "category"), budget, policy)
     out = df.join(decided, ["request", "ord"], "left")
     reason = F.coalesce("early", "why")
     return out.withColumns({"included": reason.isNull(), "reason_out": reason}).drop("early", "why")
 
 
-def _fold(items: Column, budget: int, policy: dict) -> Column:
-    """Decisions ``(ord, why)`` in order; why is null for those taken."""
-    shares = [F.lit(int(budget * policy[c]["maxRatio"])) if "maxRatio" in policy.get(c, {}) else F.lit(None).cast("int") for c in CATEGORIES]
-    use0 = [F.lit(0).cast("bigint").alias(c) for c in CATEGORIES]
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), *use0, F.array().cast("array<struct<ord:bigint,why:string>>").alias("out"))
-
-    def step(acc, x):
-        hard = x["rank"] == 0
-        over = F.lit(False)
-        for c, share in zip(CATEGORIES, shares):
-            over = over | F.coalesce((x["category"] == c) & (acc[c] + x["tokens"] > share), F.lit(False))
-        why = (
-            F.when(hard, F.lit(None).cast("string"))
-            .when(x["tokens"] > budget * policy["maxItemRatio"], "single item exceeds policy size limit")
-            .when(over, F.concat(x["category"], F.lit(" category budget")))
-            .when(acc["used"] + x["tokens"] > budget, "token budget")
-        )
-        took = why.isNull()
-        use = [F.when(took & ~hard & F.coalesce(x["category"] == c, F.lit(False)), acc[c] + x["tokens"]).otherwise(acc[c]).alias(c) for c in CATEGORIES]
-        row = F.struct(x["ord"].cast("bigint").alias("ord"), why.alias("why"))
-        return F.struct(F.when(took, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"), *use, F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+def _fold(items: DataFrame, budget: int, policy: dict) -> DataFrame:
+    """Decisions ``request, ord, why``; why is null for those taken.
+
+    Rows come sorted by request and order and are streamed: a task holds one request's sums only, however many its candidates.
+    """
+    shares = {c: int(budget * policy[c]["maxRatio"]) for c in CATEGORIES if "maxRatio" in policy.get(c, {})}
+    most = budget * policy["maxItemRatio"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        request, used, use = None, 0, {}
+        for b in batches:
+            whys = []
+            for now, rank, tokens, category in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 4)]):
+                if (now,) != request:
+                    request, used, use = (now,), 0, dict.fromkeys(CATEGORIES, 0)
+                why = None
+                if rank != 0:
+                    if tokens > most:
+                        why = "single item exceeds policy size limit"
+                    elif category in shares and use[category] + tokens > shares[category]:
+                        why = f"{category} category budget"
+                    elif used + tokens > budget:
+                        why = "token budget"
+                    elif category in use:
+                        use[category] += tokens
+                if why is None:
+                    used += tokens
+                whys.append(why)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(whys, pa.string())], names=["request", "ord", "why"])
+
+    kind = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    dealt = items.repartition("request").sortWithinPartitions("request", "rank", "s", "p", "ord")
+    return dealt.select("request", "ord", "rank", "tokens", "category").mapInArrow(run, f"request {kind['request']}, ord {kind['ord']}, why string")
 
 
 def validate_selection(selected: DataFrame, budget: int, force_exclude: DataFrame | None = None, policy: dict | None = None) -> DataFrame:

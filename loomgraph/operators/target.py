@@ -37,22 +37,70 @@ def alias_table(nodes: DataFrame) -> DataFrame:
     return names.join(top, ["alias", "rank"]).select("alias", "id")
 
 
-def named_exclusions(tasks: DataFrame, aliases: DataFrame) -> DataFrame:
+#: Names that are looked for in one pass over the texts; what is sent to the workers has this bound, more names take more passes.
+NAMES = 200_000
+
+
+def mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", names_at_once: int = NAMES) -> DataFrame:
+    """The other columns of ``texts`` and ``alias`` for every name (``alias``) that the lower-cased text contains.
+
+    An automaton over the names reads each text once. Whether a text contains a name does not depend on other names, so the names
+    may be taken in parts.
+    """
+    keys = [f for f in texts.schema.fields if f.name != text_col]
+    schema = T.StructType([*keys, T.StructField("alias", T.StringType())])
+    names = names.where("alias <> ''").select("alias").distinct()
+    parts, found = max(1, -(-names.count() // names_at_once)), None
+    for k in range(parts):
+        part = [r.alias for r in names.where(F.pmod(F.xxhash64("alias"), F.lit(parts)) == k).collect()]
+        shipped = texts.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches, shipped=shipped):
+            import ahocorasick
+            import pyarrow as pa
+
+            tree = ahocorasick.Automaton()
+            for name in shipped.value:
+                tree.add_word(name, name)
+            tree.make_automaton()
+            for b in batches:
+                at, said = [], []
+                for row, text in enumerate(b.column(len(keys)).to_pylist()):
+                    hit = sorted({name for _, name in tree.iter(text.lower())}) if text and len(tree) else ()
+                    at += [row] * len(hit)
+                    said += hit
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(at, pa.int32())) for c in b.columns[: len(keys)]] + [pa.array(said, pa.string())], names=schema.names)
+
+        one = texts.select(*[F.col(f.name) for f in keys], F.col(text_col)).mapInArrow(run, schema)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def named_exclusions(tasks: DataFrame, aliases: DataFrame, names_at_once: int = NAMES) -> DataFrame:
     """``task_id, alias, id`` (id null: ambiguous) of what a task asks to leave out.
 
-    Phrases after a marker are cut natively; the walk over a phrase, alias after alias, is a Pandas UDF that finds the longest
-    alias by a set of names. The names are sent to workers up to a checked size; above it they are looked up in parts.
+    The phrases after a marker are cut, the names that each contains are found by ``mentions``, and the walk over a phrase, name
+    after name, takes the longest of them at each place: no other name can be in it.
     """
     names = aliases.groupBy("alias").agg(F.count_distinct("id").alias("n"), F.min("id").alias("one"))
     phrases = _phrases(tasks)
-    found = None
-    parts = max(1, -(-names.count() // 200_000))
-    for k in range(parts):
-        known = frozenset(r.alias for r in names.where(F.pmod(F.xxhash64("alias"), F.lit(parts)) == k).select("alias").collect())
-        walk = F.udf(lambda p, known=known: _walk(p, known), T.ArrayType(T.StringType()))
-        part = phrases.select("task_id", F.explode(walk("phrase")).alias("alias")).distinct()
-        found = part if found is None else found.unionByName(part)
-    return found.distinct().join(names, "alias").select("task_id", "alias", F.when(F.col("n") == 1, F.col("one")).alias("id"))
+    texts = phrases.select("phrase", F.col("phrase").alias("text")).distinct()
+    known = mentions(texts, names, names_at_once=names_at_once).groupBy("phrase").agg(F.collect_set("alias").alias("known"))
+
+    def walked(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at, said = [], []
+            for row, (phrase, known_) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                hit = _walk(phrase, frozenset(known_))
+                at += [row] * len(hit)
+                said += hit
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(said, pa.string())], names=["task_id", "alias"])
+
+    kind = tasks.schema["task_id"].dataType.simpleString()
+    found = phrases.join(known, "phrase").select("task_id", "phrase", "known").mapInArrow(walked, f"task_id {kind}, alias string").distinct()
+    return found.join(names, "alias").select("task_id", "alias", F.when(F.col("n") == 1, F.col("one")).alias("id"))
 
 
 def _phrases(tasks: DataFrame) -> DataFrame:
@@ -68,7 +116,15 @@ def _phrases(tasks: DataFrame) -> DataFrame:
                     out.append(re.split(CONTRAST, clause[m.end() :].lower(), maxsplit=1)[0])
         return out
 
-    return tasks.select("task_id", F.explode(F.udf(cut, T.ArrayType(T.StringType()))("text")).alias("phrase"))
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            cuts = [cut(t) for t in b.column(1).to_pylist()]
+            at = pa.array([row for row, c in enumerate(cuts) for _ in c], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([p for c in cuts for p in c], pa.string())], names=["task_id", "phrase"])
+
+    return tasks.select("task_id", F.col("text").cast("string")).mapInArrow(run, f"task_id {tasks.schema['task_id'].dataType.simpleString()}, phrase string").distinct()
 
 
 def _walk(phrase: str, known: frozenset) -> list[str]:
@@ -98,17 +154,13 @@ def infer_target(tasks: DataFrame, nodes: DataFrame, blocked: DataFrame | None =
     """``task_id, target, score``: the node that a task names: by id, title, label or path (3), or by the last part of one (1)
     if that names one node only; longer names, then longer ids first. blocked: ``task_id, id``.
 
-    Names are looked up by the words of the task: for each word a name begins with, the pair is checked for containment, so the
-    join is an equi-join on first words and not one of all tasks with all names.
+    Names in texts are found by ``mentions``; what is joined are names, not texts.
     """
     value = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lower(F.col(c)).alias("v")) for k, c in enumerate(("id", "title", "label", "path"))])).alias("x")
     full = nodes.select(F.col("id").alias("node"), value).where("x.v <> ''").select("node", F.col("x.k").alias("k"), F.col("x.v").alias("alias"))
     leaf = full.select("node", (F.col("k") + 10).alias("k"), F.element_at(F.split("alias", r"[/.]"), -1).alias("alias")).where(F.length("alias") >= 4)
     names = full.where(F.length("alias") >= 2).withColumn("score", F.lit(3)).unionByName(leaf.withColumn("score", F.lit(1)))
-    names = names.withColumn("grams", F.substring("alias", 1, 2))
-    said = tasks.select("task_id", F.lower("text").alias("text"))
-    grams = said.select("task_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(2))))).alias("grams"))
-    hits = grams.join(names, "grams").where(F.contains("text", F.col("alias")))
+    hits = mentions(tasks.select("task_id", F.lower("text").alias("text")), names).join(names, "alias")
     first = hits.groupBy("task_id", "node").agg(F.max(F.struct("score", (-F.col("k")).alias("k"), "alias")).alias("h")).select("task_id", "node", "h.score", "h.alias")
     if blocked is not None:
         first = first.join(blocked.select("task_id", F.col("id").alias("node")).distinct(), ["task_id", "node"], "left_anti")

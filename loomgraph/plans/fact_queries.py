@@ -239,7 +239,7 @@ def invalidate(spark, sf):
     return reconcile.invalidate(n, items, changed)[1]
 
 
-@query(with_("g_edges") + "SELECT source AS id, arg_min(target, ord) AS parent FROM g_edges WHERE source LIKE 'customer:%' AND target LIKE 'supplier:%' GROUP BY 1")
+@query(with_("g_nodes", "g_edges") + "SELECT source AS id, arg_min(target, ord) AS parent FROM g_edges WHERE source LIKE 'customer:%' AND target LIKE 'supplier:%' AND source IN (SELECT id FROM g_nodes) AND target IN (SELECT id FROM g_nodes) GROUP BY 1")
 def hierarchy_by_edges(spark, sf):
     e = project(spark, sf, "g_edges").where("source like 'customer:%' and target like 'supplier:%'")
     inside = e.select("ord", F.col("target").alias("source"), F.col("source").alias("target"), F.lit("contains").alias("type"))

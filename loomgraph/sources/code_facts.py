@@ -310,7 +310,11 @@ def with_modules(files: DataFrame) -> DataFrame:
 def resolve_includes(includes: DataFrame, modules: DataFrame) -> DataFrame:
     """``path, raw, target``: an include relative to its file, to the root, or the only path that ends in it."""
     here = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
-    tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"(^|/)\./", "$1"), r"[^/]+/\.\./", "")
+    # a part that goes up takes the last part kept with it; one that nothing is left for stays
+    up = lambda kept: (F.size(kept) > 0) & (F.element_at(kept, -1) != "..")
+    fold = lambda kept, p: F.when((p == "..") & up(kept), F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.concat(kept, F.array(p)))
+    parts = lambda c: F.filter(F.split(c, "/"), lambda p: ~p.isin("", "."))
+    tidy = lambda c: F.array_join(F.aggregate(parts(c), F.array().cast("array<string>"), lambda kept, p: F.coalesce(fold(kept, p), kept)), "/")
     m = modules.select(F.col("path").alias("p"), F.col("module").alias("target"))
     tails = m.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("p", "/"))), lambda n: F.array_join(F.slice(F.split("p", "/"), n, F.lit(1000)), "/"))).alias("tail"))
     tails = tails.groupBy("tail").agg(F.count_distinct("target").alias("n"), F.min("target").alias("t3")).where("n = 1")
