@@ -13,10 +13,12 @@ their neighbours, and a weak part is reported only when a complementary part (an
 an identifier, either for an endpoint) begins within the scope and does not overlap it.
 
 Offsets come from the pieces between the matches: a match begins where the lengths of all earlier pieces and matches
-end, which a running sum gives in linear time for any number of matches.
+end, which a running sum gives in linear time for any number of matches. The texts are read once: the lengths of pieces and
+matches are stored under a row number, and all that follows reads those.
 
 Defined cases: null text is empty; empty text has no span and keeps its row; every input row gives one output row, also
-if it repeats or its id is null; extra columns are ignored; order of spans is by start, then kind as listed above.
+if it repeats or its id is null; an empty table gives an empty result; a text may be of any length and have any number of
+matches; extra columns are ignored; order of spans is by start, then kind as listed above.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # The patterns that the results are defined by.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -51,35 +55,26 @@ def secret_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row_id"), text.alias("t"))
-    none = F.array().cast("array<struct<rank:int,pieces:array<string>,hits:array<string>>>")
+    none = F.array().cast("array<struct<rank:int,sizes:array<struct<gap:int,n:int,counts:boolean>>>>")
+    value = lambda hit: F.regexp_extract(hit, f"^(?:{ASSIGN})$", 1)
     found = []
     for rank, (_, pattern, needs, _, _) in enumerate(KINDS):
         has = F.col("t").rlike(pattern)
         has = F.col("t").contains(needs) & has if needs else has
-        found.append(
-            F.when(
-                has,
-                F.array(
-                    F.struct(
-                        F.lit(rank).alias("rank"),
-                        F.split("t", pattern, -1).alias("pieces"),
-                        F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("hits"),
-                    )
-                ),
-            ).otherwise(none)
-        )
-    per_kind = rows.select("row_id", "id", F.explode_outer(F.concat(*found)).alias("k"))
-    hits = per_kind.select(
-        "row_id", "id", "k.rank", F.posexplode_outer(F.transform(F.arrays_zip("k.hits", "k.pieces"), lambda z: F.struct(F.length(z["pieces"]).alias("gap"), F.length(z["hits"]).alias("n"), z["hits"].alias("hit"))))
-    ).select("row_id", "id", "rank", "pos", "col.gap", "col.n", "col.hit")
+        # the last piece of a kind follows its last match and has no match of its own
+        both = F.arrays_zip(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("hit"), F.split("t", pattern, -1).alias("piece"))
+        counts = (lambda z: F.length(value(z["hit"])) >= 12) if rank == 0 else (lambda z: F.lit(True))
+        sizes = F.transform(F.filter(both, lambda z: z["hit"].isNotNull()), lambda z: F.struct(F.length(z["piece"]).alias("gap"), F.length(z["hit"]).alias("n"), counts(z).alias("counts")))
+        found.append(F.when(has, F.array(F.struct(F.lit(rank).alias("rank"), sizes.alias("sizes")))).otherwise(none))
+    scanned = stored(rows.select("row_id", "id", F.concat(*found).alias("kinds")), "scanned")
+    per_kind = scanned.select("row_id", F.explode("kinds").alias("k"))
+    hits = per_kind.select("row_id", "k.rank", F.posexplode("k.sizes")).select("row_id", "rank", "pos", "col.*")
     upto = Window.partitionBy("row_id", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = hits.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(upto)).withColumn("start", F.col("end") - F.col("n"))
-    value = F.regexp_extract("hit", f"^(?:{ASSIGN})$", 1)
-    # the last piece of a kind follows its last match and has no match of its own
-    parts = placed.where(F.col("hit").isNotNull() & ((F.col("rank") != 0) | (F.length(value) >= 12))).select("row_id", "rank", "start", "end")
+    parts = stored(placed.where("counts").select("row_id", "rank", "start", "end"), "parts")
     linked = _linked(parts, scope)
     by_row = linked.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("spans"))
-    ids = hits.groupBy("row_id").agg(F.first("id").alias("id"))
+    ids = scanned.select("row_id", "id")
     kinds = F.array(*[F.lit(k[0]) for k in KINDS])
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), F.element_at(kinds, s["rank"] + 1).alias("kind"), s["end"].alias("end")))
     empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
