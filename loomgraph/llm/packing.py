@@ -229,8 +229,12 @@ def pack_instructions(turns: DataFrame, tokenizer: str, conv_col: str = "conv_id
 
         def emit(pieces):
             for k, start, n, sequence, offset in pieces:
-                conv, upto = held[k]
+                conv, upto, left = held[k]
                 rows.append((conv, start, n, int(upto[start + n] - upto[start]), sequence, offset))
+                if left == n:
+                    del held[k]
+                else:
+                    held[k] = conv, upto, left - n
 
         def batch():
             cols = list(zip(*rows)) if rows else [()] * 6
@@ -242,11 +246,9 @@ def pack_instructions(turns: DataFrame, tokenizer: str, conv_col: str = "conv_id
                 sizes = [len(x) // 4 + 1 for x in encoder.encode([t["text"] for t in said])]
                 bears = np.repeat([t["role"] == "assistant" for t in said], sizes)
                 upto = np.concatenate([[0], np.cumsum(bears)])
-                held[key] = conv, upto
+                held[key] = conv, upto, len(bears)
                 emit(packer.add(key, len(bears), upto))
                 key += 1
-            if not packer.waiting:
-                held.clear()
             yield batch()
         emit(packer.finish())
         yield batch()
