@@ -35,11 +35,14 @@ def utf8(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and there is
+    one machine only (tests); a cluster must name one."""
     lean(spark)
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         path = tempfile.mkdtemp(prefix="loomgraph-")
         sc.setCheckpointDir(path)
     elif not sc.getCheckpointDir():
@@ -119,13 +122,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def per_process(name: str, make):
-    """A value made once in a Python worker and kept from task to task; only the last one asked for is kept."""
+    """A value made once in a Python worker and kept from task to task; only the last one asked for is kept.
+
+    What the one before it held is given back to the system, not to this process only.
+    """
     import sys
     import types
 
     kept = sys.modules.setdefault("_loomgraph_worker", types.ModuleType("_loomgraph_worker"))
     if getattr(kept, "name", None) != name:
         kept.value = None
+        give_back()
         kept.name, kept.value = name, make()
     return kept.value
