@@ -99,8 +99,10 @@ def summarize_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 100, ma
     """The first nodes, the first edges that touch them, and one row of counts. Both limits are the feature."""
     n, m = max(1, min(500, max_nodes)), max(1, min(1000, max_edges))
     some = nodes.orderBy("ord").limit(n)
-    ids = F.broadcast(some.select(F.col("id").alias("known")))  # at most 500 rows
-    touching = edges.join(ids, (F.col("source") == F.col("known")) | (F.col("target") == F.col("known")), "left_semi")
+    ids = some.select("id").distinct()  # at most 500 rows
+    starts, ends = (F.broadcast(ids.select(F.col("id").alias(c))) for c in ("known_source", "known_target"))
+    touching = edges.join(starts, F.col("source") == F.col("known_source"), "left").join(ends, F.col("target") == F.col("known_target"), "left")
+    touching = touching.where("known_source is not null or known_target is not null").drop("known_source", "known_target")
     shown = touching.orderBy("ord").limit(m)
     total = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(some.agg(F.count("*").alias("shown_nodes"))).crossJoin(shown.agg(F.count("*").alias("shown_edges")))
     return some, shown, total.withColumn("truncated", (F.col("shown_nodes") < F.col("nodes")) | (F.col("shown_edges") < F.col("edges")))
