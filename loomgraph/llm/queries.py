@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import phrase_index
+from . import lexical_rank, phrase_index
 from .language_id import op5_language_fusion, pages_language
+from .lexical_rank import op13_lexical_rank
 from .line_templates import op7_line_templates
 from .packing import op2_vector_packing
 from .passage_chains import op1_passage_chains
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_text_cnn": op8_text_cnn,
     "op9_phrase_index": op9_phrase_index,
     "op10_credential_links": op10_credential_links,
+    "op13_lexical_rank": op13_lexical_rank,
 }
 
-ORACLES: dict[str, str] = {"op9_phrase_index": phrase_index.ORACLE}
+ORACLES: dict[str, str] = {"op9_phrase_index": phrase_index.ORACLE, "op13_lexical_rank": lexical_rank.ORACLE}
