@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import lexical_rank, phrase_index
+from . import exact_topk, lexical_rank, merkle, phrase_index
+from .exact_topk import op12_exact_topk
 from .language_id import op5_language_fusion, pages_language
 from .lexical_rank import op13_lexical_rank
 from .line_templates import op7_line_templates
+from .merkle import op11_merkle_manifest
 from .packing import op2_vector_packing
 from .passage_chains import op1_passage_chains
 from .phrase_index import op9_phrase_index
@@ -27,7 +29,14 @@ QUERIES = {
     "op8_text_cnn": op8_text_cnn,
     "op9_phrase_index": op9_phrase_index,
     "op10_credential_links": op10_credential_links,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_exact_topk": op12_exact_topk,
     "op13_lexical_rank": op13_lexical_rank,
 }
 
-ORACLES: dict[str, str] = {"op9_phrase_index": phrase_index.ORACLE, "op13_lexical_rank": lexical_rank.ORACLE}
+ORACLES: dict[str, str] = {
+    "op9_phrase_index": phrase_index.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_exact_topk": exact_topk.ORACLE,
+    "op13_lexical_rank": lexical_rank.ORACLE,
+}
