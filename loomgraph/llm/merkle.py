@@ -65,8 +65,8 @@ def parent(run: list[str]) -> str:
     return hashlib.sha256("".join(run).encode()).hexdigest()
 
 
-def settle(nodes: dict, size: int, made=None) -> dict:
-    """The monoid's normal form: parents of all complete runs in place of the runs. ``nodes``: (level, index) -> digest.
+def settle(nodes: dict, size: int, top: int = 64, made=None) -> dict:
+    """The monoid's normal form: parents of all complete runs in place of the runs, up to level ``top``. ``nodes``: (level, index) -> digest.
 
     ``made(level, index, run)`` is told of each run before it goes.
     """
@@ -74,7 +74,7 @@ def settle(nodes: dict, size: int, made=None) -> dict:
     for (level, at), digest in nodes.items():
         levels.setdefault(level, {})[at] = digest
     level = min(levels, default=0)
-    while level <= max(levels, default=-1):
+    while level <= min(max(levels, default=-1), top - 1):
         here, width = levels.get(level, {}), -(-size // ARITY**level)
         if width > 1:
             for first in sorted({at - at % ARITY for at in here}):
@@ -93,17 +93,21 @@ def merge(a: dict, b: dict, size: int) -> dict:
     return settle(a | b, size)
 
 
-def fragments(batches):
-    """Batches of leaves ``tree, size, at, leaf`` to their unresolved nodes."""
-    import pyarrow as pa
+def fragments(span: int):
+    """Batches of leaves ``tree, size, at, leaf`` to their unresolved nodes, up to the first round's level."""
 
-    for batch in batches:
-        trees: dict = {}
-        for tree, size, at, leaf in zip(*(c.to_pylist() for c in batch.columns)):
-            trees.setdefault((tree, size), {})[0, at] = leaf
-        out = [(tree, size, level, at, digest) for (tree, size), nodes in trees.items() for (level, at), digest in settle(nodes, size).items()]
-        names = ["tree", "size", "level", "at", "digest"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=names) if out else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string())))))
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [("tree", pa.string()), ("size", pa.int64()), ("level", pa.int32()), ("at", pa.int64()), ("digest", pa.string())]
+        for batch in batches:
+            trees: dict = {}
+            for tree, size, at, leaf in zip(*(c.to_pylist() for c in batch.columns)):
+                trees.setdefault((tree, size), {})[0, at] = leaf
+            out = [(tree, size, level, at, digest) for (tree, size), nodes in trees.items() for (level, at), digest in settle(nodes, size, span).items()]
+            yield pa.RecordBatch.from_pylist([dict(zip([name for name, _ in kinds], row)) for row in out], pa.schema(kinds))
+
+    return run
 
 
 def under(rounds: int) -> Column:
@@ -111,20 +115,25 @@ def under(rounds: int) -> Column:
     return F.expr(f"shiftright(shiftleft(at, level), {SPAN * rounds})")
 
 
-def merged(pdf):
-    import pandas as pd
+def merged(top: int):
+    """The fragments under one node of level ``top`` as one."""
+
+    def run(pdf):
+        import pandas as pd
+
+        size = int(pdf["size"].iloc[0])
+        nodes = settle({(int(level), int(at)): digest for level, at, digest in zip(pdf["level"], pdf["at"], pdf["digest"])}, size, top)
+        return pd.DataFrame([(pdf["tree"].iloc[0], size, level, at, digest) for (level, at), digest in nodes.items()], columns=["tree", "size", "level", "at", "digest"])
 
-    size = int(pdf["size"].iloc[0])
-    nodes = settle({(int(level), int(at)): digest for level, at, digest in zip(pdf["level"], pdf["at"], pdf["digest"])}, size)
-    return pd.DataFrame([(pdf["tree"].iloc[0], size, level, at, digest) for (level, at), digest in nodes.items()], columns=["tree", "size", "level", "at", "digest"])
+    return run
 
 
 def rounds_of(leaves: DataFrame) -> list[DataFrame]:
     """Nodes after each round; the last has one node a tree, its root."""
     most = leaves.agg(F.max("size")).first()[0] or 0
-    nodes, out = leaves.select("tree", "size", "at", "leaf").mapInArrow(fragments, NODE), []
+    nodes, out = leaves.select("tree", "size", "at", "leaf").mapInArrow(fragments(SPAN), NODE), []
     while not out or most > ARITY ** (SPAN * len(out)):
-        nodes = stored(nodes.groupBy("tree", under(len(out) + 1).alias("block")).applyInPandas(merged, NODE), "round")
+        nodes = stored(nodes.groupBy("tree", under(len(out) + 1).alias("block")).applyInPandas(merged(SPAN * (len(out) + 1)), NODE), "round")
         out.append(nodes)
     return out
 
@@ -132,7 +141,7 @@ def rounds_of(leaves: DataFrame) -> list[DataFrame]:
 def siblings(nodes: dict, size: int) -> dict:
     """(level, index) -> digests of the siblings that it meets on its way to the forest's last node, in order."""
     above: dict = {}
-    settle(nodes, size, lambda level, first, run: above.update({(level, first + k): (run[:k] + run[k + 1 :], (level + 1, first // ARITY)) for k in range(len(run))}))
+    settle(nodes, size, made=lambda level, first, run: above.update({(level, first + k): (run[:k] + run[k + 1 :], (level + 1, first // ARITY)) for k in range(len(run))}))
 
     def path(key):
         out = []
