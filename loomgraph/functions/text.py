@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space that trimming removes (all of Unicode's), as a regex class.
-SPACE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: White space that trimming removes (all of Unicode's), as characters.
+BLANKS = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 # Path parts that say nothing about a domain, and file names of helpers.
@@ -44,7 +44,7 @@ def filled(*cols: Column) -> Column:
 
 def trim_all(col: Column) -> Column:
     """Trim all Unicode white space."""
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def token_estimate(col: Column) -> Column:

@@ -73,19 +73,20 @@ def apply_inference(mappings: DataFrame, proposed: DataFrame, manual_nodes: Data
     return out.select("functional", F.when(owned & same, "owned").when(owned, "review_required").when(F.col("had"), "replaced").otherwise("new").alias("verdict"))
 
 
-def pick_implementations(items: DataFrame, terms: Column, most: int) -> DataFrame:
-    """``functional, impl_id, hits``: of a capability's items those that task terms hit, most hits first, else the first two.
+def pick_implementations(items: DataFrame, terms: Column, most: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """``functional, impl_id, hits, rank``: of a capability's items those that task terms hit, most hits first, else the first two.
 
-    items: ``functional, impl_id, path, capabilities, ord``; of one id the first place and the last row's values count.
+    items: ``functional, impl_id, path, capabilities, ord``; of one id the first place and the last row's values count. ``by``: columns
+    of the request, which ``terms`` and ``most`` may depend on.
     """
     said = F.array_join(F.coalesce("capabilities", F.array().cast("array<string>")), " ") if "capabilities" in items.columns else F.lit("")
-    once = items.withColumn("said", said).groupBy("functional", "impl_id").agg(F.min("ord").alias("ord"), F.max_by(F.struct("path", "said"), "ord").alias("v"))
+    most = most if isinstance(most, Column) else F.lit(most)
+    once = items.withColumns({"said": said, "terms_": terms, "most_": most}).groupBy(*by, "functional", "impl_id").agg(F.min("ord").alias("ord"), F.max_by(F.struct("path", "said"), "ord").alias("v"), F.first("terms_").alias("terms_"), F.first("most_").alias("most_"))
     text = F.concat_ws(" ", F.col("impl_id"), F.coalesce("v.path", F.lit("")), F.coalesce("v.said", F.lit("")))
-    scored = once.withColumn("hits", term_hits(text, terms))
-    best = scored.groupBy("functional").agg(F.max("hits").alias("top"))
-    w = Window.partitionBy("functional").orderBy(F.desc("hits"), "ord")
-    ranked = scored.join(best, "functional").where((F.col("top") == 0) | (F.col("hits") > 0)).withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= F.when(F.col("top") > 0, most).otherwise(min(2, most))).select("functional", "impl_id", "hits", "rank")
+    scored = once.withColumn("hits", term_hits(text, F.col("terms_")))
+    each = Window.partitionBy(*by, "functional")
+    ranked = scored.withColumn("top", F.max("hits").over(each)).where((F.col("top") == 0) | (F.col("hits") > 0)).withColumn("rank", F.row_number().over(each.orderBy(F.desc("hits"), "ord")))
+    return ranked.where(F.col("rank") <= F.when(F.col("top") > 0, F.col("most_")).otherwise(F.least(F.lit(2), F.col("most_")))).select(*by, "functional", "impl_id", "hits", "rank")
 
 
 def merge_functional(edges: DataFrame, items: DataFrame, sources: list[str], merged: str) -> tuple[DataFrame, DataFrame]:

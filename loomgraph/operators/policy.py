@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import content_hash, token_estimate, trim_all
+from .closure import settle
 
 # The default policy.
 DEFAULT_POLICY = {
@@ -104,49 +105,58 @@ def prepare(candidates: DataFrame, policy: dict) -> DataFrame:
     return df.where(F.col("content") != "").withColumn("early", early)
 
 
-def select_by_budget(candidates: DataFrame, budget: int, policy: dict | None = None) -> DataFrame:
-    """K9: every candidate with ``included`` and ``reason_out`` (null if included).
+def select_by_budget(candidates: DataFrame, budget: int | str, policy: dict | None = None, contents: bool = False) -> DataFrame:
+    """K9: every candidate with ``included`` and ``reason_out`` (null if included); ``budget`` is a number, or the name of a column.
 
-    Of equal contents the earliest allowed candidate stays, found by an aggregate over hashes and a join. Then an ordered
-    fold takes candidates by class, score, priority and place: hard ones always; others only within the item limit, their
-    category's share and what is left of the budget, and scanning goes on after one that does not fit. The fold needs the
-    numbers of a request's candidates only (no contents), streamed in order; requests are folded in parallel.
+    One pass over the candidates leaves their numbers (tokens, hash, class, score, category); all that follows reads those, and
+    ``contents`` joins the texts of what was taken in the end. Of equal contents the earliest allowed candidate stays, found by an
+    aggregate over hashes and a join. Then an ordered fold takes candidates by class, score, priority and place: hard ones always;
+    others only within the item limit, their category's share and what is left of the budget, and scanning goes on after one that
+    does not fit. Requests are folded in parallel.
     """
     policy = resolve_policy(policy)
-    df = prepare(candidates, policy)
+    df = settle(prepare(candidates, policy).drop("content"))
     ok = df.where(F.col("early").isNull())
     first = ok.groupBy("request", "content_hash").agg(F.min_by(F.struct(F.coalesce("node", "label").alias("who"), "ord"), F.col("ord")).alias("first"))
     df = df.join(first, ["request", "content_hash"], "left")
     twin = F.when(F.col("early").isNull() & (F.col("ord") != F.col("first.ord")), F.concat(F.lit("duplicate of "), F.col("first.who")))
     df = df.withColumn("early", F.coalesce("early", twin)).drop("first")
     rank = F.when(F.col("policy_class") == "hard", 0).when(F.col("policy_class") == "soft", 1).otherwise(2)
+    limit = (F.col(budget) if isinstance(budget, str) else F.lit(budget)).cast("bigint")
     open_ = df.where(F.col("early").isNull())
-    decided = _fold(open_.select("request", "ord", rank.alias("rank"), (-F.col("score")).alias("s"), (-F.coalesce(F.col("priority"), F.lit(0))).alias("p"), "tokens", "category"), budget, policy)
-    out = df.join(decided, ["request", "ord"], "left")
+    decided = _fold(open_.select("request", "ord", rank.alias("rank"), (-F.col("score")).alias("s"), (-F.coalesce(F.col("priority"), F.lit(0))).alias("p"), "tokens", "category", limit.alias("budget")), policy)
     reason = F.coalesce("early", "why")
-    return out.withColumns({"included": reason.isNull(), "reason_out": reason}).drop("early", "why")
+    out = df.join(decided, ["request", "ord"], "left").withColumns({"included": reason.isNull(), "reason_out": reason}).drop("early", "why")
+    return with_contents(out, candidates) if contents else out
 
 
-def _fold(items: DataFrame, budget: int, policy: dict) -> DataFrame:
+def with_contents(selected: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The trimmed ``content`` beside those taken; null beside the others."""
+    texts = candidates.select("request", "ord", trim_all(F.coalesce("content", F.lit(""))).alias("content"))
+    taken = selected.where("included").join(texts, ["request", "ord"])
+    return taken.unionByName(selected.where("not included").withColumn("content", F.lit(None).cast("string")))
+
+
+def _fold(items: DataFrame, policy: dict) -> DataFrame:
     """Decisions ``request, ord, why``; why is null for those taken.
 
     Rows come sorted by request and order and are streamed: a task holds one request's sums only, however many its candidates.
     """
-    shares = {c: int(budget * policy[c]["maxRatio"]) for c in CATEGORIES if "maxRatio" in policy.get(c, {})}
-    most = budget * policy["maxItemRatio"]
+    ratios = {c: policy[c]["maxRatio"] for c in CATEGORIES if "maxRatio" in policy.get(c, {})}
+    item = policy["maxItemRatio"]
 
     def run(batches):
         import pyarrow as pa
 
-        request, used, use = None, 0, {}
+        request, used, use, shares = None, 0, {}, {}
         for b in batches:
             whys = []
-            for now, rank, tokens, category in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 4)]):
+            for now, rank, tokens, category, budget in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 4, 5)]):
                 if (now,) != request:
-                    request, used, use = (now,), 0, dict.fromkeys(CATEGORIES, 0)
+                    request, used, use, shares = (now,), 0, dict.fromkeys(CATEGORIES, 0), {c: int(budget * r) for c, r in ratios.items()}
                 why = None
                 if rank != 0:
-                    if tokens > most:
+                    if tokens > budget * item:
                         why = "single item exceeds policy size limit"
                     elif category in shares and use[category] + tokens > shares[category]:
                         why = f"{category} category budget"
@@ -161,7 +171,7 @@ def _fold(items: DataFrame, budget: int, policy: dict) -> DataFrame:
 
     kind = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     dealt = items.repartition("request").sortWithinPartitions("request", "rank", "s", "p", "ord")
-    return dealt.select("request", "ord", "rank", "tokens", "category").mapInArrow(run, f"request {kind['request']}, ord {kind['ord']}, why string")
+    return dealt.select("request", "ord", "rank", "tokens", "category", "budget").mapInArrow(run, f"request {kind['request']}, ord {kind['ord']}, why string")
 
 
 def validate_selection(selected: DataFrame, budget: int, force_exclude: DataFrame | None = None, policy: dict | None = None) -> DataFrame:
@@ -210,7 +220,7 @@ def audit_totals(selected: DataFrame) -> DataFrame:
 
 
 def context_text(selected: DataFrame) -> DataFrame:
-    """The text of a request's selection in selection order, and its fingerprints (with and without the task's part)."""
+    """K23 (columns of ``select_by_budget`` with contents): the text of a request's selection in selection order, and its fingerprints (with and without the task's part)."""
     rank = F.when(F.col("policy_class") == "hard", 0).when(F.col("policy_class") == "soft", 1).otherwise(2)
     part = F.struct(rank.alias("a"), (-F.col("score")).alias("b"), (-F.coalesce(F.col("priority"), F.lit(0))).alias("c"), "ord", "label", "content", "scope")
     parts = selected.where("included").groupBy("request").agg(F.sort_array(F.collect_list(part)).alias("p"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import firewall, policy, provider, traverse
+from ..operators import firewall, policy, provider, traverse, turns
 from .projections import project, read, with_
 from .registry import query
 from .store_queries import tokens_sql
@@ -33,8 +33,8 @@ fold(request, i, used, u1, u2, u3, u4, ord, why) AS (
 sel AS (SELECT c3.*, coalesce(early, why) AS reason_out, coalesce(early, why) IS NULL AS included FROM c3 LEFT JOIN (SELECT request, ord, why FROM fold WHERE i > 0) d USING (request, ord))"""
 
 
-def _selected(spark, sf):
-    return policy.select_by_budget(project(spark, sf, "g_candidates"), BUDGET)
+def _selected(spark, sf, contents=False):
+    return policy.select_by_budget(project(spark, sf, "g_candidates"), BUDGET, contents=contents)
 
 
 @query(_PREP + "SELECT request, ord, policy_class, category FROM c2")
@@ -72,7 +72,7 @@ def audit_totals(spark, sf):
 
 @query(_PREP + ", p AS (SELECT request, string_agg('## ' || label || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY CASE policy_class WHEN 'hard' THEN 0 WHEN 'soft' THEN 1 ELSE 2 END, score DESC, priority DESC, ord) AS context FROM sel WHERE included GROUP BY 1) SELECT request, sha256(context) AS context_hash, sha256(CAST(request AS VARCHAR) || chr(0) || context) AS fingerprint FROM p")
 def context_text(spark, sf):
-    return policy.context_text(_selected(spark, sf)).select("request", F.sha2("context", 256).alias("context_hash"), "fingerprint")
+    return policy.context_text(_selected(spark, sf, contents=True)).select("request", F.sha2("context", 256).alias("context_hash"), "fingerprint")
 
 
 # The traversal's oracle is a walk over levels without forced edges on the way: depth and membership from one region.
@@ -117,6 +117,59 @@ def compile_context(spark, sf):
     return got.select("node", "label", "tokens", "policy_class", "included", "reason_out")
 
 
+# What each session gets, in SQL of its own: texts are known, so targets and exclusions are read off them; walks are a recursion by session.
+_TURNS = with_("g_nodes", "g_edges", "g_items", "g_turns", "g_settings") + f""", last AS (SELECT session, trim(arg_max(text, pos)) AS text FROM g_turns WHERE role = 'user' AND kind NOT IN ('plugin', 'tool') GROUP BY 1),
+v AS (SELECT l.session, l.text, semanticDepth AS depth, one_in, one_out, l.session % 6 AS k, CASE l.session % 6 WHEN 0 THEN 'nation:6' WHEN 1 THEN CASE WHEN 'nation:' || (l.session % 25) IN ('nation:7', one_out) THEN NULL ELSE 'nation:' || (l.session % 25) END
+    WHEN 4 THEN 'region:2' WHEN 5 THEN 'customer:1' END AS target FROM last l JOIN g_settings s ON s.session = l.session),
+x AS (SELECT session, 'nation:7' AS id FROM v WHERE k = 1 UNION SELECT session, one_out FROM v WHERE one_out <> '' UNION SELECT session, n.id FROM v, g_nodes n WHERE n.mode = 'FORCE_EXCLUDE'),
+e AS (SELECT source, target, type FROM g_edges WHERE mode <> 'FORCE_EXCLUDE' UNION ALL SELECT 'supplier:' || (c_custkey % 10 + 1), 'customer:' || c_custkey, 'contains' FROM customer),
+b AS (SELECT source AS a, target AS b, type FROM e UNION ALL SELECT target, source, type FROM e WHERE type <> 'depends_on'),
+st AS (SELECT DISTINCT b.a, b.b, n.type = 'functional' AS onward FROM b JOIN g_nodes m ON m.id = b.a JOIN g_nodes n ON n.id = b.b WHERE m.type <> 'functional' OR (n.type = 'functional' AND b.type NOT IN ('dependency', 'reference', 'calls'))),
+w(session, id, depth, onward) AS (SELECT session, target, 0, TRUE FROM v WHERE target IS NOT NULL
+  UNION SELECT w.session, st.b, w.depth + 1, st.onward FROM w JOIN v ON v.session = w.session JOIN st ON st.a = w.id LEFT JOIN x ON x.session = w.session AND x.id = st.b LEFT JOIN x y ON y.session = w.session AND y.id = w.id
+    WHERE w.onward AND x.id IS NULL AND y.id IS NULL AND w.depth < least(v.depth, 2)),
+c0 AS (SELECT w.session, w.id, min(w.depth) AS depth, CASE WHEN w.id = any_value(target) THEN 'content,code' ELSE '' END AS scope FROM w JOIN v USING (session) GROUP BY 1, 2),
+mine AS (SELECT v.session, g_items.*, text FROM v JOIN g_items ON functional = target),
+x2 AS (SELECT session, id FROM x UNION SELECT session, impl_id FROM mine WHERE mode = 'FORCE_EXCLUDE'),
+f AS (SELECT * FROM (SELECT session, one_in AS id FROM v WHERE target IS NOT NULL AND one_in <> '' UNION SELECT session, impl_id FROM mine WHERE mode = 'FORCE_INCLUDE') ANTI JOIN x2 USING (session, id)),
+pick AS (SELECT session, impl_id AS id, row_number() OVER (PARTITION BY session ORDER BY ord) AS rk FROM mine),
+c1 AS (SELECT session, id, depth, scope FROM c0 UNION ALL SELECT session, id, 1, 'code,interface' FROM pick ANTI JOIN c0 USING (session, id) WHERE rk <= 2),
+c2 AS (SELECT * FROM c1 ANTI JOIN x2 USING (session, id)),
+sym AS (SELECT c2.session, c2.id AS file, c2.depth, 'customer:' || c_custkey AS id, row_number() OVER (PARTITION BY c2.session, c2.id ORDER BY 'customer:' || c_custkey) AS rk FROM c2 JOIN v USING (session) JOIN customer ON c2.id = 'supplier:' || (c_custkey % 10 + 1) WHERE contains(scope, 'code') AND contains(text, 'desk')),
+c3 AS (SELECT session, id, depth, CASE WHEN (session, id) IN (SELECT (session, file) FROM sym) THEN 'interface' ELSE scope END AS scope FROM c2
+  UNION ALL SELECT session, id, max(depth) + 1, 'code,interface' FROM sym ANTI JOIN c2 USING (session, id) WHERE rk <= 3 GROUP BY 1, 2),
+c4 AS (SELECT session, id, CASE WHEN f.id IS NULL THEN depth ELSE 0 END AS depth, CASE WHEN f.id IS NULL THEN scope ELSE 'code' END AS scope, f.id IS NOT NULL AS forced FROM c3 FULL JOIN f USING (session, id)),
+n AS (SELECT c4.*, g.type, g.title, text, id = target AS is_entry FROM c4 JOIN g_nodes g USING (id) JOIN v USING (session) WHERE g.status = 'active' OR forced),
+o AS (SELECT session AS request, id AS node, depth, title || ' (' || type || ')' AS label, CASE WHEN type = 'functional' THEN title ELSE 'About ' || title END AS content, is_entry OR forced AS hard FROM n
+  UNION ALL SELECT session, id, depth, title || ' code', 'code of ' || title, forced FROM n WHERE type <> 'functional' AND contains(scope, 'code')
+  UNION ALL SELECT session, target, 1, 'User task', text, TRUE FROM v WHERE target IS NOT NULL)
+"""
+
+
+def _turn_graph(spark, sf):
+    n = project(spark, sf, "g_nodes")
+    label = F.when(F.col("type") == "implementation_symbol", F.concat(F.lit("Desk "), (F.split("id", ":")[1].cast("int") % 10).cast("string"))).otherwise(F.col("title"))
+    n = n.withColumns({"label": label, "content": F.concat(F.lit("About "), "title"), "description": F.col("title"), "priority": F.lit("normal"), "raw": F.lit(False), "code": F.concat(F.lit("code of "), "title"), "signature": F.lit("")})
+    more = read(spark, sf, "customer").select((F.lit(20_000_000) + F.col("c_custkey")).cast("bigint").alias("ord"), F.concat(F.lit("supplier:"), (F.col("c_custkey") % 10 + 1).cast("string")).alias("source"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("target"), F.lit("contains").alias("type"), F.lit("AUTO").alias("mode"))
+    e = project(spark, sf, "g_edges").where("mode <> 'FORCE_EXCLUDE'").unionByName(more).withColumn("scope", F.lit(""))
+    one = lambda c: F.when(F.col(c) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+    settings = project(spark, sf, "g_settings").withColumns({"include": one("one_in"), "exclude": one("one_out")})
+    return project(spark, sf, "g_turns"), n, e, project(spark, sf, "g_items"), settings
+
+
+@query(_TURNS + """SELECT session, CASE WHEN k = 2 THEN 'CONTEXT_FORCE_EXCLUDE_AMBIGUOUS' WHEN target IS NULL THEN 'CONTEXT_TARGET_REQUIRED' END AS code, k <> 2 AND target IS NULL AS fallback, target,
+  CASE WHEN k = 2 THEN 'desk 3' ELSE '' END AS aliases, CASE WHEN k = 2 THEN (SELECT count(*) FROM customer WHERE c_custkey % 10 = 3) ELSE 0 END AS n_options, array_to_string(list_sort(list_filter([CASE WHEN k = 1 THEN 'nation:7' END, nullif(one_out, '')], lambda x: x IS NOT NULL)), ',') AS excluded FROM v""")
+def turn_verdicts(spark, sf):
+    messages, n, _, _, settings = _turn_graph(spark, sf)
+    v = turns.turn_verdicts(messages, n, settings)
+    return v.select("session", "code", "fallback", "target", F.array_join("aliases", ",").alias("aliases"), F.size("options").cast("bigint").alias("n_options"), F.array_join("force_exclude", ",").alias("excluded"))
+
+
+@query(_TURNS + f"SELECT request, node, label, CAST(depth AS INT) AS depth, {tokens_sql('content')} + {tokens_sql('label')} + 10 AS tokens, CASE WHEN hard THEN 'hard' ELSE 'soft' END AS policy_class, TRUE AS included, content FROM o")
+def turn_selection(spark, sf):
+    return turns.compile_turns(*_turn_graph(spark, sf))[1].select("request", "node", "label", "depth", "tokens", "policy_class", "included", "content")
+
+
 @query(with_("g_nodes", "g_edges", "g_items") + """, x AS (SELECT 'region:3' AS id UNION SELECT id FROM g_nodes WHERE mode = 'FORCE_EXCLUDE' UNION SELECT target FROM g_edges WHERE mode = 'FORCE_EXCLUDE' UNION SELECT impl_id FROM g_items WHERE mode = 'FORCE_EXCLUDE'),
 r(id) AS (SELECT id FROM x UNION SELECT target FROM g_edges JOIN r ON source = r.id WHERE type = 'contains') SELECT id FROM r WHERE id IN (SELECT id FROM g_nodes)""")
 def exclusion_closure(spark, sf):

@@ -47,6 +47,14 @@ SELECT conv_id AS session, turn AS pos, conv_id * 1000 + turn AS ord, 'm' || CAS
   CASE WHEN role = 'system' AND conv_id % 3 = 0 THEN 'instructions' END AS form,
   CASE WHEN role = 'system' AND conv_id % 2 = 0 THEN '<loom-context target="x">' ELSE '' END || text AS text
 FROM conversations""",
+    # turns that name nodes, exclude some, or do neither, by session
+    "g_turns": """
+SELECT conv_id AS session, turn AS pos, role, CASE WHEN role = 'user' AND turn % 5 = 4 THEN 'tool' ELSE 'user' END AS kind,
+  CASE conv_id % 6 WHEN 0 THEN 'Check supplier code of NATION_6 for desk ' WHEN 1 THEN 'Please do not use NATION_7. Check nation:' || CAST(conv_id % 25 AS STRING) WHEN 2 THEN 'Exclude desk 3 and look at region:1 ' WHEN 3 THEN 'hello there '
+    WHEN 4 THEN 'steel desk' ELSE 'look at customer#000000001 ' END || ' (' || CAST(turn AS STRING) || ')' AS text FROM conversations""",
+    "g_settings": """
+SELECT DISTINCT conv_id AS session, CASE WHEN conv_id % 6 = 4 THEN 'region:2' WHEN conv_id % 12 = 0 THEN 'gone' END AS target, CAST(1 + conv_id % 3 AS INT) AS semanticDepth,
+  CASE WHEN conv_id % 4 = 1 THEN 'supplier:3' ELSE '' END AS one_in, CASE WHEN conv_id % 5 = 2 THEN 'nation:8' ELSE '' END AS one_out FROM conversations""",
     # clauses: a turn behind a phrase that a rule looks for
     "g_clauses": """
 SELECT conv_id * 1000 + turn AS ord, 'm' || CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING) AS message_id, role,
