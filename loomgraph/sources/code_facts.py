@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.closure import settle
-from ..operators.index import alias_table, normalize_symbols, resolve_ladder, resolve_imports, unique_aliases
+from ..operators.index import normalize_symbols, resolve_imports
+from ..operators.scopes import base_rungs, call_rungs, name_keys, resolve_scoped
 
 # Extensions of source files, and folders that are not looked into.
 PYTHON, C_SOURCES, C_HEADERS = [".py"], [".c", ".cc", ".cpp", ".cxx"], [".h", ".hh", ".hpp", ".hxx"]
@@ -326,13 +327,13 @@ def resolve_includes(includes: DataFrame, modules: DataFrame) -> DataFrame:
 def code_facts(files: DataFrame, wanted: DataFrame | None = None) -> dict[str, DataFrame]:
     """``symbols``, ``relationships``, ``interfaces``, ``modules`` and ``errors`` of files (``path, content``).
 
-    wanted: paths to report on (P21); all files take part in resolution. Names that several symbols share resolve to nothing.
+    wanted: paths to report on (P21); all files take part in resolution. A C name that several
+    symbols share is that of its own file, else that of an included one, else it resolves to nothing.
     """
     modules = with_modules(files)
     raw = settle(parse_files(modules))
     ids = modules.select(F.col("module").alias("id")).distinct()
     symbols = normalize_symbols(raw.where("kind = 'symbol'").withColumn("kind", F.col("subkind")).withColumn("line", F.col("start_line")).select("path", "module", "ord", "name", "kind", "subkind", "container", "signature", "start_line", "end_line", "line"))
-    unique = unique_aliases(alias_table(symbols))
     py, c = F.endswith("path", F.lit(".py")), ~F.endswith("path", F.lit(".py"))
     imports = raw.where(py & (F.col("kind") == "import"))
     known = resolve_imports(raw.where(py & F.col("raw").isNotNull() & (F.col("raw") != "?") & F.col("kind").isin("import", "call", "inherit", "reference")).select("module", "raw").distinct(), ids)
@@ -345,9 +346,15 @@ def code_facts(files: DataFrame, wanted: DataFrame | None = None) -> dict[str, D
     includes = resolve_includes(raw.where("kind = 'include'"), modules.select("path", "module"))
     rel = rel.unionByName(shape(includes.where("target is not null and target <> module"), F.col("target")))
     uses = raw.where(c & F.col("kind").isin("call", "inherit")).withColumn("use", F.concat_ws(":", "path", "ord"))
-    tail = F.element_at(F.split("target_symbol", r"\."), -1)
-    found = resolve_ladder(uses, unique, [F.concat("module", F.lit(":"), "target_symbol"), F.col("target_symbol"), tail], ["use"]).where("resolved is not null")
-    rel = rel.unionByName(shape(found.withColumn("target", F.element_at(F.split("resolved", ":"), 1)), F.col("target")))
+    near = includes.where("target is not null").select("module", F.col("target").alias("included"))
+    named = symbols.where(c).select("module", "id", "name", "kind").distinct()
+    inside = F.when(F.contains("from_symbol", F.lit(".")), F.regexp_extract("from_symbol", r"^(.*)\.[^.]*$", 1))
+    asked = uses.where("kind = 'call'").select("module", F.col("target_symbol").alias("name"), F.lit(None).cast("string").alias("inside"), call_rungs(F.col("target_symbol")).alias("rungs"))
+    bases = uses.where("kind = 'inherit'").withColumn("inside", inside).select("module", F.col("target_symbol").alias("name"), "inside", base_rungs(F.col("target_symbol"), F.col("inside")).alias("rungs"))
+    meant = resolve_scoped(asked, name_keys(named), near).withColumn("kind", F.lit("call")).unionByName(resolve_scoped(bases, name_keys(named.where("kind = 'class'")), near).withColumn("kind", F.lit("inherit")))
+    meant = meant.select("kind", "module", F.col("name").alias("target_symbol"), F.coalesce("inside", F.lit("")).alias("inside"), F.element_at(F.split("target", ":"), 1).alias("target"))
+    scope = F.when(F.col("kind") == "inherit", F.coalesce(inside, F.lit(""))).otherwise("")
+    rel = rel.unionByName(shape(uses.withColumn("inside", scope).join(meant, ["kind", "module", "target_symbol", "inside"]), F.col("target")))
     first = F.min(F.struct("ord", "confidence", "file"))
     rel = rel.groupBy("from", "from_symbol", "to", "type", "symbol", "line", "path").agg(first.alias("f")).select("path", "from", "from_symbol", "to", "type", "symbol", "line", F.col("f.ord").alias("ord"), F.col("f.confidence").alias("confidence"), F.col("f.file").alias("file"))
     out = {
