@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTLED = 8
 
@@ -35,3 +36,14 @@ def reach(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) ->
         if depth % SETTLED == 0:
             seen = settle(seen)
     return seen
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one machine takes a folder of its own."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        path = tempfile.mkdtemp(prefix="loomgraph-")
+    return path.rstrip("/")
