@@ -53,18 +53,42 @@ def ancestors(parents: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def layer_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """V4: ``id, level``: breadth-first levels from nodes without incoming edges; then from the first node not reached, and so on."""
+    """V4: ``id, level``: breadth-first levels from nodes without incoming edges; then from the first node not reached, and so on.
+
+    What no root reaches is reached first from the first node (by ``ord``) that leads to it at all, and every way from there lies among
+    nodes of the same first node. So first nodes are found for all at once, and one search goes from all of them.
+    """
     ids = nodes.select("id")
     own = settle(edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target").distinct())
     roots = ids.join(own.select(F.col("target").alias("id")), "id", "left_anti")
     levels = settle(reach(own, roots).withColumnRenamed("depth", "level"))
+    rest = settle(nodes.select("id", "ord").join(levels, "id", "left_anti"))
+    if rest.isEmpty():
+        return levels
+    inner = settle(own.join(rest.select(F.col("id").alias("target")), "target", "left_semi").join(rest.select(F.col("id").alias("source")), "source", "left_semi"))
+    first = first_ancestors(rest, inner)
+    ends = lambda end: first.select(F.col("id").alias(end), F.col("first").alias(f"{end}_first"))
+    same = inner.join(ends("source"), "source").join(ends("target"), "target").where("source_first = target_first")
+    return levels.unionByName(reach(same.select("source", "target"), first.where("id = first").select("id")).withColumnRenamed("depth", "level"))
+
+
+def first_ancestors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, first``: of all nodes that lead to a node, itself included, the first by ``ord``.
+
+    In a round a node takes the least of what its sources have, and what the node that it has got has: what leads to that one leads
+    here too, so the distance that is looked back over grows by a factor, and a long cycle takes few rounds.
+    """
+    mine = F.struct("ord", "id")
+    known = settle(nodes.select("id", mine.alias("best")))
     while True:
-        rest = nodes.join(levels, "id", "left_anti")
-        first = rest.orderBy("ord").select("id").first()
-        if first is None:
-            return levels
-        left = own.join(levels.select(F.col("id").alias("target")), "target", "left_anti")
-        levels = levels.unionByName(reach(left, rest.where(F.col("id") == first.id).select("id")).withColumnRenamed("depth", "level"))
+        near = edges.join(known.select(F.col("id").alias("source"), F.col("best").alias("b")), "source").groupBy(F.col("target").alias("id")).agg(F.min("b").alias("b"))
+        step = known.join(near, "id", "left").select("id", F.col("best").alias("was"), F.least("best", F.coalesce("b", "best")).alias("best"))
+        far = known.select(F.col("id").alias("via"), F.col("best").alias("beyond"))
+        step = step.withColumn("via", F.col("best.id")).join(far, "via").select("id", "was", F.least("best", "beyond").alias("best"))
+        step = settle(step)
+        known = step.select("id", "best")
+        if step.where("was <> best").isEmpty():
+            return known.select("id", F.col("best.id").alias("first"))
 
 
 def layer_positions(nodes: DataFrame, levels: DataFrame) -> DataFrame:
