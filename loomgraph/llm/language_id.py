@@ -7,8 +7,9 @@ grouped sums of the rows' text posteriors. Host priors come from the same sums b
 smoothed by the one above; a row's own posterior is left out of its host's sum. All sums cover all rows; what comes to the
 driver is a few numbers a language, a declared language and a two-letter suffix.
 
-The text model is fitted on at most ``SAMPLE`` labelled rows a language (documented bound, in the order of a hash of the id), for
-the ``LANGUAGES`` most frequent labels at most. As trigrams of a text depend on each other, the likelihood's weight levels
+The text model is fitted on at most ``SAMPLE`` labelled rows a language (documented bound, in the order of a hash of the id). Of more
+than ``LANGUAGES`` labels the most frequent have a model each and all others share one, ``OTHER``; a row that is best explained by
+that one has the language that it declares, if that is one of the others, else ``OTHER``. As trigrams of a text depend on each other, the likelihood's weight levels
 off after ``FULL`` trigrams.
 
 A row is rejected if its text has no trigram with a letter, if no language has a posterior of ``SURE``, or if the text is much
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import sliced, stored, table, utf8
 
-SLOTS, SAMPLE, LANGUAGES, FULL, SURE, SLACK = 1 << 15, 500, 64, 100, 0.5, 1.0
+SLOTS, SAMPLE, LANGUAGES, FULL, SURE, SLACK = 1 << 15, 500, 128, 100, 0.5, 1.0
+OTHER = "other"
 HOST_WEIGHT, DOMAIN_WEIGHT, SAID_WEIGHT = 20.0, 50.0, 10.0
 #: Bytes that part words become spaces, capitals become small letters. Digits part words too.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -43,12 +45,14 @@ def trigrams(data: bytes) -> np.ndarray:
     return (h ^ (h >> np.uint32(15))) & np.uint32(SLOTS - 1)
 
 
-def train_text(rows: DataFrame, sample: int = SAMPLE) -> dict | None:
+def train_text(rows: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> dict | None:
     """Log-probabilities ``(SLOTS, languages)`` and, by language, the least mean likelihood seen; rows: ``id, payload, label``."""
-    counts = rows.where(F.col("label").isNotNull()).groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
-    names = sorted(r.label for r in counts)
+    counts = rows.where(F.col("label").isNotNull()).groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages + 1).collect()
+    names = sorted({r.label for r in counts} if len(counts) <= languages else {r.label for r in counts[: languages - 1]} | {OTHER})
     if not names:
         return None
+    if len(counts) > languages:
+        rows = rows.withColumn("label", F.when(F.col("label").isin(names) | F.col("label").isNull(), F.col("label")).otherwise(OTHER))
     picked = None
     for name in names:
         part = rows.where(F.col("label") == name).select("label", "id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -66,7 +70,7 @@ def train_text(rows: DataFrame, sample: int = SAMPLE) -> dict | None:
         if len(grams) >= 20:
             k = names.index(name)
             least[k] = min(least[k], logp[grams, k].mean())
-    return {"names": names, "logp": logp.astype(np.float32), "least": least - SLACK}
+    return {"names": names, "merged": len(counts) > languages, "logp": logp.astype(np.float32), "least": least - SLACK}
 
 
 def _domain(host: Column) -> Column:
@@ -123,7 +127,7 @@ def _likelihoods(rows: DataFrame, said: str, known: Column, names: list[str]) ->
     return spark.createDataFrame([(r[said], [float(x) for x in g]) for r, g in zip(got, given)], f"{said} string, given array<double>")
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, url: Column | None = None, host: Column | None = None, label: Column | None = None) -> DataFrame:
+def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, url: Column | None = None, host: Column | None = None, label: Column | None = None, languages: int = LANGUAGES) -> DataFrame:
     """``id, language, posterior, text_language, n_grams, rejected`` for every row.
 
     declared: the declared language; url: the address, of which suffix and (unless given) host are taken; label: what the text
@@ -139,12 +143,14 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, url: C
         utf8(text_col).alias("payload"),
         F.lower((declared if label is None else label).cast("string")).alias("label"),
     )
-    model = train_text(rows.select("id", "payload", "label"))
+    model = train_text(rows.select("id", "payload", "label"), languages=languages)
     if model is None:
         none = F.lit(None).cast("string")
         return rows.select("id", none.alias("language"), F.lit(None).cast("double").alias("posterior"), none.alias("text_language"), F.lit(0).cast("bigint").alias("n_grams"), F.lit(True).alias("rejected"))
     names = model["names"]
     scored = stored(_score(rows, model), "evidence").withColumn("domain", _domain(F.col("host")))
+    if model["merged"]:
+        scored = scored.withColumn("own", F.col("declared")).withColumn("declared", F.when(F.col("own").isin(names) | F.col("own").isNull(), F.col("own")).otherwise(OTHER))
     ks = range(len(names))
     declared_ = _likelihoods(scored, "declared", F.col("declared").isin(names), names).withColumnRenamed("given", "by_declared")
     suffix_ = _likelihoods(scored, "suffix", F.lit(True), names).withColumnRenamed("given", "by_suffix")
@@ -164,7 +170,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, url: C
         prior = (F.greatest(F.col(f"h{k}") - own * F.col("post")[k], F.lit(0.0)) + HOST_WEIGHT * F.col(f"p{k}")) / (F.col("n_host") - own + HOST_WEIGHT)
         said = [F.coalesce(F.log(F.col(c)[k]), F.lit(0.0)) for c in ("by_declared", "by_suffix")]
         total.append((F.col("like")[k] + F.log(prior) + said[0] + said[1]).alias(f"t{k}"))
-    fused = fused.select("id", "n_grams", "odd", "post", *total)
+    fused = fused.select("id", "n_grams", "odd", "post", *(["own"] if model["merged"] else []), *total)
     top = F.greatest(*[F.col(f"t{k}") for k in ks]) if len(names) > 1 else F.col("t0")
     fused = fused.withColumn("top", top)
     mass = sum((F.exp(F.col(f"t{k}") - F.col("top")) for k in ks), F.lit(0.0))
@@ -172,6 +178,8 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column, url: C
     for k in reversed(ks):
         best = F.when(F.col(f"t{k}") == F.col("top"), F.lit(names[k])).otherwise(best)
         text_best = F.when(F.col("post")[k] == F.array_max("post"), F.lit(names[k])).otherwise(text_best)
+    if model["merged"]:
+        best = F.when((best == OTHER) & ~F.coalesce(F.col("own").isin(names), F.lit(True)), F.col("own")).otherwise(best)
     out = fused.select("id", best.alias("language"), F.round(1 / mass, 6).alias("posterior"), F.when(F.col("n_grams") > 0, text_best).alias("text_language"), "n_grams", "odd")
     return out.withColumn("rejected", (F.col("n_grams") == 0) | (F.col("posterior") < SURE) | F.col("odd")).drop("odd")
 

@@ -161,10 +161,11 @@ def drop_templates(docs: DataFrame, text_col: str = "text", mark: str = "__dropp
 
 def op7_line_templates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return drop_templates(docs).select(
+    (mark,) = fresh(docs, "dropped_lines")
+    return drop_templates(docs, mark=mark).select(
         "doc_id",
-        F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("bigint").alias("n_dropped"),
-        F.coalesce(F.array_join(F.transform("__dropped", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"),
+        F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark)).cast("bigint").alias("n_dropped"),
+        F.coalesce(F.array_join(F.transform(mark, lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"),
         F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"),
         F.length(F.coalesce(F.col("text"), F.lit(""))).cast("bigint").alias("kept_chars"),
     )

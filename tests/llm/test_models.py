@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from test_base import AWKWARD, SCHEMA, SF
 
 
@@ -19,7 +20,6 @@ def words_of(t):
 
 def test_language(spark, docs):
     from loomgraph.llm.language_id import identify, identify_documents
-    from pyspark.sql import functions as F
 
     got = {r.id: r for r in identify_documents(docs).collect()}
     truth = {r.doc_id: (r.lang, len(words_of(r.text))) for r in docs.collect()}
@@ -36,7 +36,6 @@ def test_language(spark, docs):
 def test_language_evidence(spark):
     """Where the text says nothing, the host's other pages, the declaration and the suffix decide."""
     from loomgraph.llm.language_id import address_suffix, identify
-    from pyspark.sql import functions as F
 
     rnd = random.Random(1)
     say = {"aa": "alpha beta gamma delta epsilon zeta".split(), "bb": "uno dos tres cuatro cinco seis siete".split()}
@@ -220,6 +219,37 @@ def test_toxicity(spark):
     assert toxicity(docs.where("false"), marks).count() == 0
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_labels_beyond_the_models(spark):
+    """No label is dropped: those beyond the models share one."""
+    from loomgraph.llm.language_id import identify
+
+    rows = [(100 * k + i, " ".join(f"{chr(97 + k)}{chr(97 + (i + j) % 26)}{chr(97 + k)}{chr(98 + k)}q" for j in range(40)), f"l{k:02}") for k in range(12) for i in range(12 - k // 2)]
+    df = spark.createDataFrame(rows, "id bigint, text string, said string")
+    for languages in (128, 5):
+        got = {r.id: r for r in identify(df, "id", "text", F.col("said"), languages=languages).collect()}
+        assert not [r for r in got.values() if r.rejected]
+        assert all(got[i].language == said for i, _, said in rows)
+    assert {r.text_language for r in got.values()} == {"l00", "l01", "l02", "l03", "other"}
+
+
+def test_stages_take_any_column_names(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns({c: F.lit("x") for c in ("gone_id", "__id", "dropped", "__dropped", "kept_id", "id", "lines_gone", "text_key", "row")})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.where("gone_id = 'x' and __dropped = 'x'").count() > 0, name
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from test_search import brute_classes, brute_hits
@@ -238,6 +268,11 @@ def test_pipeline(spark, tmp_path):
             assert {d for d in before if len(words_of(before[d].text)) > 20} <= set(after)
         if name == "line_dedup":
             assert set(after) == set(before)
+        if name == "near_dedup":
+            sets = {d: shingles(before[d].text) for d in before}
+            kept = sorted(after)
+            assert not [(a, b) for k, a in enumerate(kept) for b in kept[k + 1 :] if alike(sets[a], sets[b]) >= 0.8]
+            assert all(any(alike(sets[d], sets[e]) >= 0.8 for e in before if e != d) for d in set(before) - set(after))
         if name == "decontamination":
             assert set(after) == {d for d, r in before.items() if not brute_hits(r.text, bench)[1]}
         if name == "packing":
