@@ -103,6 +103,21 @@ def semantic_fields(text: Column) -> tuple[Column, Column, Column]:
     return subject, slot, value
 
 
+def node_semantic_fields(subject: Column, slot: Column, value: Column, metadata: Column, content: Column) -> tuple[Column, ...]:
+    """E5: each field by itself: the node's own, else its metadata's (JSON), else what its content says; an empty one says nothing."""
+    tree = F.try_parse_json(metadata)
+    said = semantic_fields(F.coalesce(content, F.lit("")))
+    given = {"subject": subject, "slot": slot, "value": value}
+    return tuple(F.coalesce(F.nullif(own, F.lit("")), F.nullif(F.try_variant_get(tree, f"$.{name}", "string"), F.lit("")), derived) for (name, own), derived in zip(given.items(), said))
+
+
+def node_tokens(content: Column, description: Column, kind: Column, path: Column, size: Column) -> Column:
+    """Tokens of what a node holds, else a quarter of its file's bytes; symbols have no file of their own."""
+    inline = filled(content, description, F.lit(""))
+    whole = ~(F.startswith(kind, F.lit("implementation_")) & (kind != "implementation_file"))
+    return F.when(trim_all(inline) != "", token_estimate(inline)).when((F.coalesce(path, F.lit("")) != "") & F.coalesce(whole, F.lit(True)), F.ceil(F.coalesce(size, F.lit(0)) / 4)).otherwise(0).cast("bigint")
+
+
 def stable_id(prefix: Column, *parts: Column) -> Column:
     """Prefix and 12 hex digits of the parts joined by NUL."""
     joined = parts[0]

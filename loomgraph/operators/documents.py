@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import code_like, task_terms
+from ..functions.text import code_like, filled, task_terms
 
 
 def clean_outline(sections: DataFrame, pages: Column) -> DataFrame:
@@ -113,3 +113,48 @@ def layout_artifacts(artifacts: DataFrame, max_tokens: int = 12_000, overhead: i
     took = packed.select("section_id", F.explode(F.aggregate("a", start, step, lambda s: s["out"])).alias("t")).select("section_id", F.when(F.col("t.k") == 0, "code").otherwise("table").alias("kind"), F.col("t.ord").alias("ord"))
     out = artifacts.join(took, ["section_id", "kind", "ord"])
     return out.withColumn("id", F.concat("section_id", F.lit("."), F.substring(F.sha2(F.concat_ws(":", "kind", F.col("ord").cast("string"), "text"), 256), 1, 12)))
+
+
+def scan_documents(nodes: DataFrame, edges: DataFrame, documents: DataFrame, outlines: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph after a scan of documents: each document and its sections as nodes, joined by ``contains``.
+
+    documents: ``file, title, pages, hash``; outlines: ``file, idx, level, title, page_start, page_end``; nodes: at least ``id, title, label,
+    content, description, source, created_by, mode, file, hash, page_start, page_end, x, y``; edges: ``source, target, type, file``.
+    What a scanned file had before goes, but for nodes by hand; a section keeps its text while hash and pages are the same.
+    """
+    docs = documents.select("file", "title", F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)).alias("pages"), F.col("hash").alias("now_hash"), document_id(F.col("file")).alias("doc_id"))
+    parts = outlines.join(docs.select("file", "doc_id", "pages", "now_hash"), "file")
+    parts = parts.withColumn("page_end", F.coalesce("page_end", "pages"))
+    parts = clean_outline(parts, F.col("pages")).withColumn("id", F.concat("doc_id", F.lit(".section."), (F.col("idx") + 1).cast("string")))
+    parts = parts.withColumn("name", filled(F.trim(F.coalesce("title", F.lit(""))), F.concat(F.lit("Section "), (F.col("idx") + 1).cast("string"))))
+    scanned = docs.select("file").distinct()
+    old = nodes.join(scanned, "file", "left_semi")
+    was = old.select("id", *[F.col(c).alias(f"was_{c}") for c in ("content", "description", "created_by", "mode", "hash", "page_start", "page_end", "x", "y")])
+    manual = F.coalesce(F.col("was_mode") == "MANUAL", F.lit(False))
+    by_hand = [F.when(manual, F.col("was_created_by")).otherwise("analyzer").alias("created_by"), F.lit("active").alias("status"), F.when(manual, "MANUAL").otherwise("AUTO").alias("mode"), F.lit(now).alias("updated_at")]
+    count = parts.groupBy("file").agg(F.count("*").alias("n"))
+    tops = docs.join(count, "file", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "id": F.col("doc_id")}).join(was, "id", "left")
+    said = F.concat(F.lit("PDF document: "), "file", F.lit("\nPages: "), F.col("pages").cast("string"), F.lit("\nOutline sections: "), F.col("n").cast("string"))
+    told = F.concat(F.lit("PDF document with "), F.col("pages").cast("string"), F.lit(" pages and "), F.col("n").cast("string"), F.lit(" outline sections."))
+    kept = lambda own, new: filled(F.when(manual, F.col(own)), new)
+    none = F.lit(None).cast("int")
+    top = tops.select(
+        "id", F.lit("documentation").alias("type"), "title", F.col("title").alias("label"), kept("was_content", said).alias("content"), kept("was_description", told).alias("description"), F.col("file").alias("source"), *by_hand,
+        F.coalesce("was_x", F.lit(80.0)).alias("x"), F.coalesce("was_y", F.lit(80.0)).alias("y"), "file", F.col("now_hash").alias("hash"), none.alias("page_start"), none.alias("page_end"),
+    )
+    rows = parts.join(was, "id", "left")
+    same = manual | (F.col("was_hash").eqNullSafe(F.col("now_hash")) & F.col("was_page_start").eqNullSafe(F.col("page_start")) & F.col("was_page_end").eqNullSafe(F.col("page_end")))
+    section = rows.select(
+        "id", F.lit("documentation").alias("type"), F.col("name").alias("title"), F.col("name").alias("label"), F.when(same, F.coalesce("was_content", F.lit(""))).otherwise("").alias("content"),
+        F.concat("file", F.lit(", pages "), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string")).alias("description"), F.concat("file", F.lit("#page="), F.col("page_start").cast("string")).alias("source"), *by_hand,
+        F.coalesce("was_x", 80.0 + F.col("level") * 240).alias("x"), F.coalesce("was_y", 80.0 + (F.col("idx") + 1) * 130).alias("y"), "file", F.col("now_hash").alias("hash"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"),
+    )
+    made = top.unionByName(section)
+    stay = nodes.join(made.select("id"), "id", "left_anti")
+    stay = stay.join(scanned, "file", "left_anti").unionByName(stay.join(scanned, "file", "left_semi").where("mode = 'MANUAL'"))
+    parent = section_ranges(parts.select("doc_id", "idx", "level", "page_start"), docs.select("doc_id", "pages")).select("doc_id", "idx", "parent_idx")
+    inside = parent.join(docs.select("doc_id", "file"), "doc_id").select(
+        F.when(F.col("parent_idx").isNull(), F.col("doc_id")).otherwise(F.concat("doc_id", F.lit(".section."), (F.col("parent_idx") + 1).cast("string"))).alias("source"),
+        F.concat("doc_id", F.lit(".section."), (F.col("idx") + 1).cast("string")).alias("target"), F.lit("contains").alias("type"), "file",
+    )
+    return stay.unionByName(made, allowMissingColumns=True), edges.join(scanned, "file", "left_anti").unionByName(inside, allowMissingColumns=True)

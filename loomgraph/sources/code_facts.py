@@ -331,7 +331,8 @@ def code_facts(files: DataFrame, wanted: DataFrame | None = None) -> dict[str, D
     symbols share is that of its own file, else that of an included one, else it resolves to nothing.
     """
     modules = with_modules(files)
-    raw = settle(parse_files(modules))
+    raw = parse_files(modules)
+    raw = settle(raw.unionByName(_degraded(modules, raw), allowMissingColumns=True))
     ids = modules.select(F.col("module").alias("id")).distinct()
     symbols = normalize_symbols(raw.where("kind = 'symbol'").withColumn("kind", F.col("subkind")).withColumn("line", F.col("start_line")).select("path", "module", "ord", "name", "kind", "subkind", "container", "signature", "start_line", "end_line", "line"))
     py, c = F.endswith("path", F.lit(".py")), ~F.endswith("path", F.lit(".py"))
@@ -367,6 +368,26 @@ def code_facts(files: DataFrame, wanted: DataFrame | None = None) -> dict[str, D
     return {k: df.join(wanted.select("path").distinct(), "path", "left_semi") for k, df in out.items()} if wanted is not None else out
 
 
+def _degraded(modules: DataFrame, raw: DataFrame) -> DataFrame:
+    """Symbols and imports by patterns alone for files that could not be parsed; they stand beside the files' errors."""
+    failed = modules.join(raw.where("kind = 'error'").select("path").distinct(), "path", "left_semi")
+    light = light_scan(failed).join(failed.select("path", "module"), "path")
+    row = lambda kind, sub, name: F.transform(F.col(name), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(sub).alias("subkind"), x.alias("said")))
+    found = light.select("path", "module", F.posexplode(F.concat(row("symbol", "function", "functions"), row("symbol", "class", "classes"), row("import", "", "imports"))).alias("ord", "x"))
+    py, symbol = F.endswith("path", F.lit(".py")), F.col("x.kind") == "symbol"
+    return found.select(
+        "path", "module", "ord", F.when(symbol, "symbol").when(py, "import").otherwise("include").alias("kind"), F.when(symbol, F.col("x.said")).alias("name"), F.when(symbol, F.col("x.subkind")).alias("subkind"), F.when(symbol, F.col("module")).alias("container"),
+        F.when(symbol, F.lit("")).alias("signature"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.when(~symbol, F.col("x.said")).alias("raw"), F.when(~symbol, F.col("x.said")).alias("target_symbol"), F.lit(0.5).alias("confidence"),
+    )
+
+
+def file_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size`` of the files below a folder; contents are not read."""
+    below = len(root.rstrip("/")) + 1
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    return files.select(F.expr(f"substring(regexp_replace(path, '^[a-z]+:/*(?=/)', ''), {below + 1})").alias("path"), F.col("length").alias("size"))
+
+
 def language_of(modules: DataFrame) -> DataFrame:
     """P20: the one language of all modules, mixed, or python if there are none."""
     n = modules.agg(F.count_distinct("language").alias("n"), F.min("language").alias("one"))
