@@ -47,7 +47,9 @@ def bounded_extract(spark, sf):
     return documents.bounded_extract(s, 2000).select("request", "ord", "taken", "truncated")
 
 
-_MARKED = "(" + " OR ".join(f"contains(low, '{m}')" for m in T.CODE_MARKERS) + ")"
+# What marks a line as code, written out for the oracle.
+_MARKERS = ["def ", "class ", "function ", "const ", "let ", "var ", "import ", "from ", "curl ", "http ", "#include", "=>", "{", "}", ";", "//", "<?", "select ", "post ", "get "]
+_MARKED = "(" + " OR ".join(f"contains(low, '{m}')" for m in _MARKERS) + ")"
 
 
 @query(rf"""WITH l AS (SELECT page_id AS doc_id, unnest(string_split(html, '>')) AS line, unnest(range(len(string_split(html, '>')))) AS line_no FROM pages), b AS (SELECT *, lower(regexp_replace(line, '^\s+|\s+$', '', 'g')) AS low FROM l),

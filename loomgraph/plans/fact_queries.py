@@ -270,9 +270,9 @@ def layer_levels(spark, sf):
     return views.layer_levels(project(spark, sf, "g_nodes"), project(spark, sf, "g_edges").where("type = 'contains'"))
 
 
-@query(with_("g_nodes") + "SELECT id FROM g_nodes WHERE type NOT IN ('code_module', 'implementation_symbol') AND contains(lower(id || ' ' || title), 'an')")
+@query(with_("g_nodes") + "SELECT id FROM g_nodes WHERE type NOT IN ('code_module', 'implementation_symbol') AND contains(lower(id || ' ' || title), 'nation_1')")
 def view_filter(spark, sf):
-    return views.view_filter(project(spark, sf, "g_nodes"), project(spark, sf, "g_edges"), "semantic", "AN")
+    return views.view_filter(project(spark, sf, "g_nodes"), project(spark, sf, "g_edges"), "semantic", "NATION_1")
 
 
 @query(with_("g_nodes", "g_edges", "g_items") + """, v AS (SELECT id FROM g_nodes WHERE type <> 'implementation_symbol'), a AS (SELECT source, target, type FROM g_edges UNION ALL SELECT functional, impl_id, 'implemented_by' FROM g_items)
