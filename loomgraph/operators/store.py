@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import filled, token_estimate
+from .closure import settle
 
 
 def empty_graph(spark: SparkSession) -> dict[str, DataFrame]:
@@ -146,11 +147,22 @@ def free_slots(placed: DataFrame, wanted: int) -> list[tuple[int, int]]:
     return [(80 + c * 260, 80 + r * 180) for (c, r), _ in zip(free, range(wanted))]
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``k``, its rows' numbers from 1 by the columns ``order``: a range sort, counts by partition, and each row's place in its own."""
+    rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n_", F.monotonically_increasing_id()))
+    part = F.shiftright("n_", 33)
+    sizes = rows.groupBy(part.alias("part_")).agg(F.count("*").alias("size_"), F.min("n_").alias("first_"))
+    # a row for each partition
+    before = F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("part_", (before - F.col("first_") + 1).alias("shift_"))
+    return rows.withColumn("part_", part).join(F.broadcast(shift), "part_").withColumn("k", F.col("n_") + F.col("shift_")).drop("n_", "part_", "shift_")
+
+
 def append_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """Nodes whose id is not there yet, after the others."""
+    """Nodes whose id is not there yet, after the others, by ``ord``, then id."""
     last = nodes.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
-    fresh = new.join(nodes.select("id"), "id", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("ord")))
-    return nodes.unionByName(fresh.crossJoin(last).withColumn("ord", F.col("last") + F.col("k")).drop("k", "last"), allowMissingColumns=True)
+    fresh = numbered(new.join(nodes.select("id"), "id", "left_anti"), "ord", "id")
+    return nodes.unionByName(fresh.crossJoin(F.broadcast(last)).withColumn("ord", F.col("last") + F.col("k")).drop("k", "last"), allowMissingColumns=True)
 
 
 def append_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trim_all
+from .closure import settle
 from .store import is_implementation
 
 # What asks for an exclusion, in the order that they are looked for.
@@ -72,6 +73,11 @@ def mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", names_a
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(at, pa.int32())) for c in b.columns[: len(keys)]] + [pa.array(said, pa.string())], names=schema.names)
 
         one = texts.select(*[F.col(f.name) for f in keys], F.col(text_col)).mapInArrow(run, schema)
+        if parts > 1:
+            # the hits of a part are kept and its names are let go before the next one's are sent
+            one = settle(one)
+            one.count()
+            shipped.unpersist()
         found = one if found is None else found.unionByName(one)
     return found
 

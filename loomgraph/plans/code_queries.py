@@ -48,7 +48,14 @@ def code_interfaces(spark, sf):
     return code_facts.code_facts(_sources(spark, sf))["interfaces"].select("qualified_id", "signature", "input", "output", "confidence")
 
 
-@query()
+_FOUND = "array_to_string(list_sort(list_distinct({0})), ',')"
+_EVERY = lambda pattern: f"regexp_extract_all(html, '{pattern}', 1)"
+_OTHER = "['if', 'for', 'while', 'switch', 'return', 'sizeof', 'catch', 'else', 'do', 'new', 'delete', 'throw']"
+
+
+@query(rf"""SELECT page_id, concat_ws(',', nullif({_FOUND.format(_EVERY(r'(?m)^\s*(?:import|from)\s+([\w.]+)'))}, ''), nullif({_FOUND.format(_EVERY(r'(?m)^\s*#\s*include\s*[<"]([^>"]+)[>"]'))}, '')) AS imports,
+  {_FOUND.format(f"list_filter({_EVERY(r'\b([A-Za-z_]\w*)\s*\(')}, lambda x: NOT list_contains({_OTHER}, x))")} AS calls, {_FOUND.format(_EVERY(r'(?m)^\s*(?:async\s+)?def\s+(\w+)'))} AS functions, {_FOUND.format(_EVERY(r'(?m)^\s*(?:class|struct)\s+(\w+)'))} AS classes FROM pages""")
 def light_scan(spark, sf):
-    rows = code_facts.light_scan(_sources(spark, sf))
-    return rows.select("path", *[F.array_join(c, ",").alias(c) for c in ("imports", "calls", "functions", "classes")])
+    """The scan by patterns alone over the text of pages, their scripts among it."""
+    pages = read(spark, sf, "pages").select(F.col("page_id").alias("path"), F.coalesce("html", F.lit("")).alias("content"))
+    return code_facts.light_scan(pages).select(F.col("path").alias("page_id"), *[F.array_join(c, ",").alias(c) for c in ("imports", "calls", "functions", "classes")])

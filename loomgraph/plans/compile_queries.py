@@ -226,13 +226,14 @@ def surface_projection(spark, sf):
     return firewall.surface_projection(project(spark, sf, "g_events"), surface).drop("text")
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN '## Rules' || chr(10) || chr(10) || 'Be kind' || chr(10) || chr(10) || '## Code' || chr(10) || chr(10) || 'x' END AS context FROM conversations")
 def strip_task(spark, sf):
     c = read(spark, sf, "conversations")
     context = F.concat(F.lit("## Rules\n\nBe kind\n\n## User task\n\n"), F.col("text"), F.lit("\n\n## Code\n\nx"))
     return c.select("conv_id", "turn", firewall.without_task(context, F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("")).alias("context"))
 
 
-@query()
+@query(with_("g_messages") + """, f AS (SELECT session, pos, sha256('{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text) || ',' END || '"role":"' || role || '","source":{' || CASE WHEN form IS NULL THEN '' ELSE '"form":"' || form || '",' END || '"kind":"' || kind || '"' || CASE WHEN plugin IS NULL THEN '' ELSE ',"plugin":"' || plugin || '"' END || '}}') AS f FROM g_messages)
+SELECT session, sha256(string_agg(f, ',' ORDER BY pos)) AS fingerprint, CAST(count(*) AS INT) AS n FROM f GROUP BY session""")
 def message_fingerprint(spark, sf):
     return firewall.list_fingerprint(project(spark, sf, "g_messages"))

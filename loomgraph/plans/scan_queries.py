@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import digest, documents
+from ..operators import digest, documents, layout
 from .projections import project, read, with_
 from .registry import query
 from .store_queries import tokens_sql
@@ -90,3 +90,12 @@ def digest_update(spark, sf):
     e, key = project(spark, sf, "g_edges"), ["source", "target", "type"]
     before = digest.range_digests(e, key, _EDGE, 2)
     return digest.tree_digests(digest.updated_ranges(before, e.where("ord % 1000 <> 7"), e.where("ord % 1000 = 7"), key, _EDGE, 2), 2)
+
+
+@query()
+def layout_repair(spark, sf):
+    """Customers as nodes of their nation's graph, many over others and some without a place (tested against brute force)."""
+    key = F.col("c_custkey")
+    place = lambda column, step: F.when(key % 17 != 0, 80.0 + column * step)
+    nodes = read(spark, sf, "customer").select(F.col("c_nationkey").alias("project"), key.alias("ord"), F.concat(F.lit("customer:"), key.cast("string")).alias("id"), place(key * 37 % 9, 130).alias("x"), place(key * 53 % 30, 90).alias("y"))
+    return layout.repair_layout(nodes)

@@ -179,3 +179,12 @@ def session_settings(spark, sf):
     c = F.col("conv_id")
     rows = s.select(c.alias("session"), F.when(c % 3 > 0, (c % 5 * 700).cast("int")).alias("tokenBudget"), (c % 8).cast("int").alias("maxImplementationFiles"), F.when(c % 4 == 0, False).alias("autoInject"))
     return session.settings_table(rows)
+
+
+@query("WITH o AS (SELECT l_orderkey * 10 + l_linenumber AS ord, 'l' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS id FROM lineitem), old AS (SELECT ord, id FROM o WHERE ord % 3 = 0), new AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM old)) SELECT id, ord FROM old UNION ALL SELECT id, (SELECT max(ord) FROM old) + row_number() OVER (ORDER BY ord, id) AS ord FROM new")
+def append_nodes(spark, sf):
+    """Two thirds of the order lines as new nodes behind the others; order and id together are the order."""
+    line = read(spark, sf, "lineitem")
+    ident = F.concat_ws(".", F.concat(F.lit("l"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
+    rows = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint").alias("ord"), ident.alias("id"))
+    return store.append_nodes(rows.where("ord % 3 = 0"), rows).select("id", "ord")

@@ -146,3 +146,33 @@ def test_layers_with_cycles(spark):
         nodes = spark.createDataFrame([(i, str(i)) for i in range(n)], "ord int, id string")
         got = views.layer_levels(nodes, spark.createDataFrame([(str(a), str(b)) for a, b in edges], "source string, target string")).collect()
         assert {int(r.id): r.level for r in got} == queue_levels(n, edges)
+
+
+def queue_layout(rows):
+    placed, out = [], []
+    over = lambda x, y: any(abs(x - u) < 220 and abs(y - v) < 140 for u, v in placed)
+    for i, x, y in rows:
+        moved = x is None or y is None or x != x or over(x, y)
+        if moved:
+            x, y = next(((80.0 + k % 4 * 260, 80.0 + k // 4 * 180) for k in range(10_000) if not over(80 + k % 4 * 260, 80 + k // 4 * 180)), (80.0, 80.0 + len(placed) * 180))
+        placed.append((x, y))
+        out.append((i, x, y, moved))
+    return out
+
+
+def test_layout_repair(spark):
+    from loomgraph.operators.layout import repair_layout
+
+    rng = random.Random(6)
+    cells = [(80.0 + k % 4 * 260, 80.0 + k // 4 * 180) for k in range(200)]
+    graphs = {
+        "overlaps": [(rng.uniform(-500, 3000), rng.uniform(-900, 30_000)) for _ in range(600)],
+        "grid": [cells[k] if k != 3 else (None, None) for k in range(120)],
+        "none": [(None, 5.0), (float("nan"), 1.0), (-0.5, -0.5), (-219.0, 0.0), (1e9, -1e9)],
+        "same": [(80.0, 80.0)] * 40,
+    }
+    rows = [(g, k, f"{g}{k}", *at) for g, places in graphs.items() for k, at in enumerate(places)]
+    df = spark.createDataFrame(rows, "project string, ord int, id string, x double, y double").repartition(7)
+    got = {(r.project, r.id): (r.x, r.y, r.moved) for r in repair_layout(df).collect()}
+    for g, places in graphs.items():
+        assert {f"{g}{k}": got[g, f"{g}{k}"] for k in range(len(places))} == {i: (x, y, m) for i, x, y, m in queue_layout([(f"{g}{k}", *at) for k, at in enumerate(places)])}
