@@ -117,3 +117,28 @@ def test_budget_and_memory_of_a_session(spark, graph):
     assert rows["p", "User task"].included and rows["p", "Title m.auth code"].reason_out == "token budget" and rows["q", "Title m.auth code"].included
     assert rows["q", "Title m.auth interface"].content == "says auth()" and ("q", "Title m.auth state") not in rows and rows["p", "Project rules"].included
     assert rows["q", "Title f.mail (functional)"].reason == "FORCE_INCLUDE" and ("p", "Title f.mail (functional)") not in rows
+
+
+def test_budget_of_a_provider(spark):
+    """The streamed fold against one that renders the text and counts its tokens anew at each step."""
+    import math
+    import random
+
+    from loomgraph.operators.provider import CUT, fill_budget
+
+    tokens = lambda t: math.ceil(sum(1.0 if ord(c) > 255 else 0.25 for c in t))
+    rng = random.Random(3)
+    rows = [(f"r{k % 6}", f"c{k:03}", rng.choice(["symbol", "file", "test"]), rng.choice([500, 700, 900]), rng.choice(["A", "B b", "中"]), rng.choice(["x ", "日本", "word  "]) * rng.randrange(1, 300), rng.random() < 0.2) for k in range(90)] + [("alone", "c", "symbol", 1, "L", "y" * 9000, True)]
+    got = {(r.request, r.id): (r.taken, r.truncated) for r in fill_budget(spark.createDataFrame(rows, "request string, id string, kind string, priority int, label string, content string, exact boolean"), 400).collect()}
+    for request in {r[0] for r in rows}:
+        mine, text = sorted((r for r in rows if r[0] == request), key=lambda r: (-r[3], r[1])), ""
+        for _, i, kind, _, label, content, exact in mine:
+            most = 280 if exact and len(mine) > 1 else 400
+            limit, base = min(400, tokens(text) + most), text + ("\n\n" if text else "") + f"## {label}\n\n"
+            picked = content if tokens(base + content) <= limit else None
+            if picked is None and tokens(base + CUT) <= limit:
+                n = max((n for n in range(len(content) + 1) if tokens(base + content[:n] + CUT) <= limit), default=0)
+                picked = content[: max(0, min(n, len(content) - 1 - len(CUT)))].rstrip() + CUT
+            ok = bool(picked) and (picked == content or exact or kind == "file")
+            assert got[request, i] == (ok, ok and picked != content), (request, i)
+            text = base + picked if ok else text
