@@ -19,8 +19,8 @@ from .session import DEFAULTS, LIMITS
 from .target import alias_table, infer_target, latest_user_text, named_exclusions
 from .traverse import FORCED_SCOPE, NARROWED, candidate_rows, contained, mapping_overrides, selected_functions, symbol_hits, walks
 
-# Why a turn gets no selection; the last one is the user's to settle, after the others the turn goes on without context.
-EMPTY, NO_TARGET, AMBIGUOUS = "CONTEXT_GRAPH_EMPTY", "CONTEXT_TARGET_REQUIRED", "CONTEXT_FORCE_EXCLUDE_AMBIGUOUS"
+# Why a turn gets no selection; the last one is the user's to settle, after the others the turn goes on without context.
+EMPTY, NO_TARGET, AMBIGUOUS = "GRAPH_EMPTY", "TARGET_REQUIRED", "EXCLUSION_AMBIGUOUS"
 
 
 def turn_settings(tasks: DataFrame, settings: DataFrame | None) -> DataFrame:

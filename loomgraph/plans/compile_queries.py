@@ -157,7 +157,7 @@ def _turn_graph(spark, sf):
     return project(spark, sf, "g_turns"), n, e, project(spark, sf, "g_items"), settings
 
 
-@query(_TURNS + """SELECT session, CASE WHEN k = 2 THEN 'CONTEXT_FORCE_EXCLUDE_AMBIGUOUS' WHEN target IS NULL THEN 'CONTEXT_TARGET_REQUIRED' END AS code, k <> 2 AND target IS NULL AS fallback, target,
+@query(_TURNS + """SELECT session, CASE WHEN k = 2 THEN 'EXCLUSION_AMBIGUOUS' WHEN target IS NULL THEN 'TARGET_REQUIRED' END AS code, k <> 2 AND target IS NULL AS fallback, target,
   CASE WHEN k = 2 THEN 'desk 3' ELSE '' END AS aliases, CASE WHEN k = 2 THEN (SELECT count(*) FROM customer WHERE c_custkey % 10 = 3) ELSE 0 END AS n_options, array_to_string(list_sort(list_filter([CASE WHEN k = 1 THEN 'nation:7' END, nullif(one_out, '')], lambda x: x IS NOT NULL)), ',') AS excluded FROM v""")
 def turn_verdicts(spark, sf):
     messages, n, _, _, settings = _turn_graph(spark, sf)
