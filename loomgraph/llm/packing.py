@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import lean, per_process, table
 
 MAX_TOKENS, MAX_SEGMENTS, POOL, END_ID = 2048, 128, 1024, 1
-WORDS_KEPT = 150_000
+#: Words kept in each of two generations; a word that is met again goes over to the new one, so frequent words stay.
+WORDS_KEPT = 200_000
 #: Texts of these characters only are split here just as the tokenizer splits them, after lower-casing.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\u00c0-\u00ff\u2010-\u2027\u2030-\u205e]*")
 # Fixed value: the tokenizer's own split pattern, for those characters.
@@ -49,16 +50,20 @@ class WordTokenizer:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [SPLIT.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        words = self.words
-        if len(words) > WORDS_KEPT:
-            words.clear()
-        new = list({w for ws in split if ws for w in ws if w not in words})
+        if len(self.words) > WORDS_KEPT:
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        new = {w for ws in split if ws for w in ws if w not in words}
+        if older:
+            words.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in words]
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
