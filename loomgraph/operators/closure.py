@@ -11,10 +11,11 @@ SETTLED = 8
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once: as a checkpoint if the session has a folder for them (lost executors lose nothing), else persisted."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if folder else df.persist()
+    """``df`` computed once, as a checkpoint: its plan ends there, nothing stays in memory, and lost executors lose nothing."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_levels: int | None = None) -> DataFrame:

@@ -212,8 +212,9 @@ def compile_context(nodes: DataFrame, edges: DataFrame, items: DataFrame, entry:
     limits = depth_limits(kind.type == "task", policy)
     by_mode = lambda m: nodes.where(F.col("mode") == m).select("id")
     selected, excluded, included = traverse(nodes, edges, items, entry, limits, force_exclude.select("id").unionByName(by_mode("FORCE_EXCLUDE")), force_include.select("id").unionByName(by_mode("FORCE_INCLUDE")))
-    functions = selected_functions(selected, nodes, entry)
-    excluded, included = mapping_overrides(functions, items, excluded, included)
+    selected = settle(selected)
+    functions = settle(selected_functions(selected, nodes, entry))
+    excluded, included = (settle(df) for df in mapping_overrides(functions, items, excluded, included))
     if policy["implementation"]["depth"]:
         most = max(0, min(5, policy["implementation"].get("maxFiles", 3)))
         mine = items.join(functions.select(F.col("id").alias("functional"), "depth", "pos"), "functional")
@@ -223,7 +224,7 @@ def compile_context(nodes: DataFrame, edges: DataFrame, items: DataFrame, entry:
         first = first.join(selected, "id", "left_anti").join(excluded, "id", "left_anti")
         depth = policy["implementation"]["depth"]
         selected = selected.unionByName(first.select("id", (F.col("f.depth") + depth).alias("depth"), F.concat(F.lit("implemented_by "), F.col("f.functional")).alias("reason"), F.lit("code,interface").alias("scope"), (F.col("f.pos") * 8 + F.col("f.rank") + (1 << 36)).alias("pos")))
-    found, left = candidates(selected, nodes, excluded, included, entry, task)
+    found, left = candidates(settle(selected), nodes, excluded, included, entry, task)
     spark = nodes.sparkSession
     first_row = spark.createDataFrame([(entry, kind.type, "active", None, 0, "current request", -1, "User task", task, "task", 1000, True, False)], "node string, node_type string, status string, priority_name string, depth int, reason string, pos bigint, label string, content string, scope string, priority int, required boolean, force_include boolean")
     rows = found.drop("request").unionByName(first_row) if task.strip() else found.drop("request")
