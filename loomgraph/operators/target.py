@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trim_all
-from .closure import settle
 from .store import is_implementation
 
 # What asks for an exclusion, in the order that they are looked for.
@@ -38,51 +38,115 @@ def alias_table(nodes: DataFrame) -> DataFrame:
     return names.join(top, ["alias", "rank"]).select("alias", "id")
 
 
-#: Names that are looked for in one pass over the texts; what is sent to the workers has this bound, more names take more passes.
-NAMES = 200_000
+#: Bits of the filter over names (its size has this bound, whatever the number of names), and characters of a name that are looked at first.
+FILTER_BITS, HEAD = 27, 8
+_PRIME, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-def mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", names_at_once: int = NAMES) -> DataFrame:
-    """The other columns of ``texts`` and ``alias`` for every name (``alias``) that the lower-cased text contains.
+def mentions(texts: DataFrame, names: DataFrame, text_col: str = "text") -> DataFrame:
+    """The other columns of ``texts`` and ``alias`` for every name (``alias``) that the lower-cased text contains, once a row."""
+    return _likely(texts, names, text_col).join(names.select("alias").distinct(), "alias", "left_semi")
 
-    An automaton over the names reads each text once. Whether a text contains a name does not depend on other names, so the names
-    may be taken in parts.
+
+def _likely(texts: DataFrame, names: DataFrame, text_col: str = "text") -> DataFrame:
+    """``mentions`` and a few more strings that are no names: a join with the names leaves those out.
+
+    Texts are read once, however many names there are. A place in a text may begin a name if a filter of fixed size has its first
+    characters, and is cut at the lengths of names at which the filter has the whole; sums of powers give each piece's hash at once.
     """
     keys = [f for f in texts.schema.fields if f.name != text_col]
     schema = T.StructType([*keys, T.StructField("alias", T.StringType())])
-    names = names.where("alias <> ''").select("alias").distinct()
-    parts, found = max(1, -(-names.count() // names_at_once)), None
-    for k in range(parts):
-        part = [r.alias for r in names.where(F.pmod(F.xxhash64("alias"), F.lit(parts)) == k).collect()]
-        shipped = texts.sparkSession.sparkContext.broadcast(part)
-
-        def run(batches, shipped=shipped):
-            import ahocorasick
-            import pyarrow as pa
-
-            tree = ahocorasick.Automaton()
-            for name in shipped.value:
-                tree.add_word(name, name)
-            tree.make_automaton()
-            for b in batches:
-                at, said = [], []
-                for row, text in enumerate(b.column(len(keys)).to_pylist()):
-                    hit = sorted({name for _, name in tree.iter(text.lower())}) if text and len(tree) else ()
-                    at += [row] * len(hit)
-                    said += hit
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(at, pa.int32())) for c in b.columns[: len(keys)]] + [pa.array(said, pa.string())], names=schema.names)
-
-        one = texts.select(*[F.col(f.name) for f in keys], F.col(text_col)).mapInArrow(run, schema)
-        if parts > 1:
-            # the hits of a part are kept and its names are let go before the next one's are sent
-            one = settle(one)
-            one.count()
-            shipped.unpersist()
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def named_exclusions(tasks: DataFrame, aliases: DataFrame, names_at_once: int = NAMES) -> DataFrame:
+    names = names.where("alias <> ''").select("alias")
+    lengths = sorted(r.n for r in names.select(F.char_length("alias").alias("n")).distinct().collect())
+    words = names.mapInArrow(_filter_words, "word int, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    shipped = texts.sparkSession.sparkContext.broadcast((bits, lengths))
+
+    def run(batches):
+        import pyarrow as pa
+
+        bits, lengths = shipped.value
+        for b in batches:
+            said = b.column(len(keys)).to_pylist()
+            lo = 0
+            while lo < len(said):
+                hi, size = lo, 0
+                while hi < len(said) and size < 1 << 18:
+                    size, hi = size + len(said[hi] or ""), hi + 1
+                found = sorted(_pieces([(t or "").lower() for t in said[lo:hi]], bits, lengths))
+                at = pa.array([lo + row for row, _ in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([c.take(at) for c in b.columns[: len(keys)]] + [pa.array([name for _, name in found], pa.string())], names=schema.names)
+                lo = hi
+
+    # a table in few files is read by few tasks: texts are dealt anew before they are scanned
+    dealt = texts.select(*[F.col(f.name) for f in keys], F.col(text_col)).repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, schema)
+
+
+def _sums(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid one after another: sums of characters times powers of a number up to each place, that number's inverse powers, and ends."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(codes) + 1, _PRIME, np.uint64))
+        back = np.cumprod(np.full(len(codes) + 1, pow(_PRIME, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * np.uint64(_MIX) * power[:-1])])
+    return sums, back, np.cumsum([len(t) for t in texts])
+
+
+def _bit(sums: np.ndarray, back: np.ndarray, at: np.ndarray, size, whole: bool) -> np.ndarray:
+    """The filter's bit of pieces; the first characters of longer names are told from whole names."""
+    with np.errstate(over="ignore"):
+        h = (sums[at + size] - sums[at]) * back[at] + np.asarray(size).astype(np.uint64) * np.uint64(2) + np.uint64(whole)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(_MIX)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(_PRIME)
+    return h >> np.uint64(64 - FILTER_BITS)
+
+
+def _filter_words(batches):
+    """64-bit words of the filter that a batch of names sets bits of."""
+    import pyarrow as pa
+
+    for b in batches:
+        names = b.column(0).to_pylist()
+        if not names:
+            continue
+        sums, back, ends = _sums(names)
+        size = np.array([len(n) for n in names])
+        at = ends - size
+        long = size > HEAD
+        bit = np.unique(np.concatenate([_bit(sums, back, at, size, True), _bit(sums, back, at[long], np.full(long.sum(), HEAD), False)]))
+        word, first = np.unique(bit >> np.uint64(6), return_index=True)
+        mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+
+def _pieces(texts: list[str], bits: np.ndarray, lengths: list[int]) -> set[tuple[int, str]]:
+    """``(text, piece)`` of all pieces of texts that the filter has."""
+    sums, back, ends = _sums(texts)
+    if len(sums) == 1:
+        return set()
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    rest = ends[owner] - np.arange(len(owner))
+    starts = ends - np.array([len(t) for t in texts])
+
+    def has(at, size, whole):
+        at = at[rest[at] >= size]
+        bit = _bit(sums, back, at, np.full(len(at), size), whole)
+        return at[(bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+
+    every = np.arange(len(owner))
+    head = has(every, HEAD, False) if lengths and lengths[-1] > HEAD else every[:0]
+    out = set()
+    for size in lengths:
+        for i in has(every if size <= HEAD else head, size, True).tolist():
+            row = int(owner[i])
+            begin = i - int(starts[row])
+            out.add((row, texts[row][begin : begin + size]))
+    return out
+
+
+def named_exclusions(tasks: DataFrame, aliases: DataFrame) -> DataFrame:
     """``task_id, alias, id`` (id null: ambiguous) of what a task asks to leave out.
 
     The phrases after a marker are cut, the names that each contains are found by ``mentions``, and the walk over a phrase, name
@@ -91,7 +155,7 @@ def named_exclusions(tasks: DataFrame, aliases: DataFrame, names_at_once: int =
     names = aliases.groupBy("alias").agg(F.count_distinct("id").alias("n"), F.min("id").alias("one"))
     phrases = _phrases(tasks)
     texts = phrases.select("phrase", F.col("phrase").alias("text")).distinct()
-    known = mentions(texts, names, names_at_once=names_at_once).groupBy("phrase").agg(F.collect_set("alias").alias("known"))
+    known = mentions(texts, names).groupBy("phrase").agg(F.collect_set("alias").alias("known"))
 
     def walked(batches):
         import pyarrow as pa
@@ -166,7 +230,7 @@ def infer_target(tasks: DataFrame, nodes: DataFrame, blocked: DataFrame | None =
     full = nodes.select(F.col("id").alias("node"), value).where("x.v <> ''").select("node", F.col("x.k").alias("k"), F.col("x.v").alias("alias"))
     leaf = full.select("node", (F.col("k") + 10).alias("k"), F.element_at(F.split("alias", r"[/.]"), -1).alias("alias")).where(F.length("alias") >= 4)
     names = full.where(F.length("alias") >= 2).withColumn("score", F.lit(3)).unionByName(leaf.withColumn("score", F.lit(1)))
-    hits = mentions(tasks.select("task_id", F.lower("text").alias("text")), names).join(names, "alias")
+    hits = _likely(tasks.select("task_id", F.lower("text").alias("text")), names).join(names, "alias")
     first = hits.groupBy("task_id", "node").agg(F.max(F.struct("score", (-F.col("k")).alias("k"), "alias")).alias("h")).select("task_id", "node", "h.score", "h.alias")
     if blocked is not None:
         first = first.join(blocked.select("task_id", F.col("id").alias("node")).distinct(), ["task_id", "node"], "left_anti")
