@@ -40,14 +40,14 @@ def turn_settings(tasks: DataFrame, settings: DataFrame | None) -> DataFrame:
 
 
 def turn_targets(turns: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Turns with ``exclude`` completed by what their texts exclude, the ``target`` they get, and ``code, aliases, options`` where they get none.
+    """Turns with ``exclude`` completed by what their texts exclude, the ``target`` they get, and ``code, aliases`` where they get none.
 
-    ``options``: the nodes that an ambiguous name may mean.
+    ``aliases``: names that may mean several nodes.
     """
     tasks = turns.select(F.col("session").alias("task_id"), "text")
     names = alias_table(nodes)
     named = settle(named_exclusions(tasks, names))
-    unclear = named.where("id IS NULL").select("task_id", "alias").join(names, "alias").groupBy(F.col("task_id").alias("session")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"), F.array_sort(F.collect_set("id")).alias("options"))
+    unclear = named.where("id IS NULL").groupBy(F.col("task_id").alias("session")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     clear = named.where("id IS NOT NULL").groupBy(F.col("task_id").alias("session")).agg(F.collect_set("id").alias("named"))
     turns = turns.join(clear, "session", "left").join(unclear, "session", "left")
     turns = settle(turns.withColumn("exclude", F.array_sort(F.array_distinct(F.concat("exclude", F.coalesce("named", F.array().cast("array<string>")))))).drop("named"))
@@ -60,22 +60,26 @@ def turn_targets(turns: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def turn_verdicts(messages: DataFrame, nodes: DataFrame, settings: DataFrame | None = None) -> DataFrame:
-    """``session, code, fallback, target, token_budget, force_exclude, aliases, options`` of the last user message of every session, as
+    """``session, code, fallback, target, token_budget, force_exclude, aliases, options, n_options`` of the last user message of every session, as
     ``compile_turns`` has them."""
     turns = turn_settings(latest_user_text(messages), settings)
-    return _verdicts(_without_graph(turns) if nodes.isEmpty() else turn_targets(turns, nodes))
+    return _verdicts(_without_graph(turns) if nodes.isEmpty() else turn_targets(turns, nodes), nodes)
 
 
 def _without_graph(turns: DataFrame) -> DataFrame:
     none = F.lit(None).cast("array<string>")
-    return turns.withColumns({"target": F.lit(None).cast("string"), "code": F.lit(EMPTY), "aliases": none, "options": none})
+    return turns.withColumns({"target": F.lit(None).cast("string"), "code": F.lit(EMPTY), "aliases": none})
 
 
-def _verdicts(turns: DataFrame) -> DataFrame:
+def _verdicts(turns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``options``, the nodes that unclear names may mean, are found once for all sessions that have the same unclear names."""
+    lists = turns.where("aliases IS NOT NULL").select("aliases").distinct()
+    means = lists.withColumn("alias", F.explode("aliases")).join(alias_table(nodes), "alias")
+    turns = turns.join(means.groupBy("aliases").agg(F.array_sort(F.collect_set("id")).alias("options"), F.count_distinct("id").alias("n_options")), "aliases", "left")
     blank = F.array().cast("array<string>")
     fallback = F.coalesce(F.col("code").isin(EMPTY, NO_TARGET), F.lit(False))
     target = F.when(F.col("code").isNull(), F.col("target"))
-    return turns.select("session", "code", fallback.alias("fallback"), target.alias("target"), "token_budget", F.col("exclude").alias("force_exclude"), F.coalesce("aliases", blank).alias("aliases"), F.coalesce("options", blank).alias("options"))
+    return turns.select("session", "code", fallback.alias("fallback"), target.alias("target"), "token_budget", F.col("exclude").alias("force_exclude"), F.coalesce("aliases", blank).alias("aliases"), F.coalesce("options", blank).alias("options"), F.coalesce("n_options", F.lit(0)).cast("bigint").alias("n_options"))
 
 
 def limits_of(policy: dict, is_task: Column, depth: Column) -> dict[str, Column]:
@@ -93,7 +97,7 @@ def limits_of(policy: dict, is_task: Column, depth: Column) -> dict[str, Column]
 def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items: DataFrame, settings: DataFrame | None = None, policy: dict | None = None, rules: str = "", memory: DataFrame | None = None, scan: Callable[[], tuple[DataFrame, DataFrame, DataFrame]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``verdicts``, ``selection`` and ``left`` for the last user message of every session.
 
-    verdicts: ``session, code, fallback, target, token_budget, force_exclude, aliases, options``; a null code is a compiled turn, ``fallback``
+    verdicts: ``session, code, fallback, target, token_budget, force_exclude, aliases, options, n_options``; a null code is a compiled turn, ``fallback``
     says that the turn goes on without context. selection: columns of ``select_by_budget``, ``request`` being the session. left: ``request,
     id, reason`` of what the walk chose and the candidates lack, and of excluded nodes.
 
@@ -106,7 +110,7 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     turns = turn_settings(latest_user_text(messages), settings)
     if nodes.isEmpty():
         none = turns.where("false").select(F.col("session").alias("request"), F.lit("").alias("id"), F.lit("").alias("reason"))
-        return _verdicts(_without_graph(turns)), none, none
+        return _verdicts(_without_graph(turns), nodes), none, none
     turns = turn_targets(turns, nodes)
     ready = turns.where("code IS NULL")
 
@@ -144,8 +148,10 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     depth = policy["implementation"]["depth"]
     if depth > 0:
         most = F.least(F.greatest(F.lit(1), F.least(F.lit(5), F.col("max_files"))), F.lit(max(0, min(5, policy["implementation"].get("maxFiles", 3)))))
-        mine = items.join(functions.select("walk", F.col("id").alias("functional")), "functional").join(texts, "walk")
-        best = pick_implementations(mine, task_terms(F.col("text"), "functional"), most, ("walk", "request"))
+        # sessions of a walk whose texts have the same terms share the choice
+        asks = settle(texts.select("walk", "request", F.array_sort(task_terms(F.col("text"), "functional")).alias("terms"), most.alias("most")))
+        mine = items.join(functions.select("walk", F.col("id").alias("functional")), "functional").join(asks.select("walk", "terms", "most").distinct(), "walk")
+        best = pick_implementations(mine, F.col("terms"), F.col("most"), ("walk", "terms", "most")).join(asks, ["walk", "terms", "most"]).drop("terms", "most")
         best = best.join(functions.select("walk", F.col("id").alias("functional"), "depth", "pos"), ["walk", "functional"]).join(nodes.select(F.col("id").alias("impl_id")), "impl_id", "left_semi")
         first = best.groupBy("walk", "request", F.col("impl_id").alias("id")).agg(F.min(F.struct("pos", "rank", "depth", "functional")).alias("f"))
         first = allowed(first).join(selected.select("walk", "id"), ["walk", "id"], "left_anti")
@@ -157,8 +163,10 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     is_file = nodes.where("type IN ('code_module', 'implementation_file')").select("id")
     files = chosen.where(F.array_contains(F.split("scope", ","), "code")).join(is_file, "id", "left_semi")
     inside = contained(files.select("id").distinct(), edges.join(nodes.select(F.col("id").alias("target")), "target", "left_semi"))
-    asked = files.select("walk", "request", F.col("id").alias("file")).join(inside, "file").join(texts.select("request", "text"), "request")
-    hits = settle(symbol_hits(asked, nodes, task_terms(F.col("text")), by=("walk", "request")))
+    # sessions whose texts have the same terms share the hits
+    asked = settle(files.select("walk", "request", F.col("id").alias("file")).join(texts.select("request", F.array_sort(task_terms(F.col("text"))).alias("terms")), "request"))
+    hits = symbol_hits(asked.select("file", "terms").distinct().join(inside, "file"), nodes, F.col("terms"), by=("terms",))
+    hits = settle(asked.join(hits, ["file", "terms"]).drop("terms"))
     narrowed = hits.select("request", F.col("file").alias("id"), F.lit(True).alias("narrowed")).distinct()
     chosen = chosen.join(narrowed, ["request", "id"], "left").withColumn("scope", F.when(F.col("narrowed"), F.array_join(F.array_remove(F.split("scope", ","), "code"), ",")).otherwise(F.col("scope"))).drop("narrowed")
     place = files.select("request", F.col("id").alias("file"), F.col("depth").alias("file_depth"), F.col("pos").alias("file_pos"))
@@ -190,4 +198,4 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     rows = settle(rows.join(ready.select(F.col("session").alias("request"), "token_budget"), "request"))
     selection = select_by_budget(rows, "token_budget", policy, contents=True)
     left = left.unionByName(excluded.join(nodes.select("id"), "id", "left_semi").join(texts.select("walk", "request"), "walk").select("request", "id", F.lit("FORCE_EXCLUDE").alias("reason")))
-    return _verdicts(turns), selection, left
+    return _verdicts(turns, nodes), selection, left

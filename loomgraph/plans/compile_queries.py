@@ -162,7 +162,7 @@ def _turn_graph(spark, sf):
 def turn_verdicts(spark, sf):
     messages, n, _, _, settings = _turn_graph(spark, sf)
     v = turns.turn_verdicts(messages, n, settings)
-    return v.select("session", "code", "fallback", "target", F.array_join("aliases", ",").alias("aliases"), F.size("options").cast("bigint").alias("n_options"), F.array_join("force_exclude", ",").alias("excluded"))
+    return v.select("session", "code", "fallback", "target", F.array_join("aliases", ",").alias("aliases"), "n_options", F.array_join("force_exclude", ",").alias("excluded"))
 
 
 @query(_TURNS + f"SELECT request, node, label, CAST(depth AS INT) AS depth, {tokens_sql('content')} + {tokens_sql('label')} + 10 AS tokens, CASE WHEN hard THEN 'hard' ELSE 'soft' END AS policy_class, TRUE AS included, content FROM o")
