@@ -124,10 +124,7 @@ class FactStore:
         touched = sorted(homes | {r.b for r in new.select(self.bucket(F.col("files")[0]).alias("b")).distinct().collect()})
         held = any(t == name for t, _ in manifest)
         old = self._rows(name, manifest, touched) if held else new.where("false")
-        # rows of the files are told by what they hold, so that rows of several files are found by an equi-join
-        old = old.withColumn("key_", F.sha2(F.to_json(F.struct("*")), 256))
-        doomed = old.select("key_", F.explode("files").alias("file")).join(scope, "file").select("key_").distinct()
-        rows = old.join(doomed, "key_", "left_anti").drop("key_").unionByName(new)
+        rows = _without_files(old, scope).unionByName(new)
         self._write(name, rows, touched, manifest, version)
 
     def _write(self, name: str, rows: DataFrame, touched: list[int], manifest: dict, version: int) -> None:
@@ -168,6 +165,16 @@ class FactStore:
         return out.where("change <> 'unchanged'")
 
 
+def _without_files(rows: DataFrame, scope: DataFrame) -> DataFrame:
+    """Rows that belong to none of the files. The first file of a row is joined as it is; what rows of several files hold is hashed, so
+    that those of them whose other files are in the scope are found by an equi-join."""
+    left = rows.withColumn("file_", F.col("files")[0]).join(scope.select(F.col("file").alias("file_")), "file_", "left_anti").drop("file_")
+    several = F.size("files") > 1
+    keyed = left.where(several).withColumn("key_", F.sha2(F.to_json(F.struct("*")), 256))
+    doomed = keyed.select("key_", F.explode(F.slice("files", F.lit(2), F.size("files"))).alias("file")).join(scope, "file", "left_semi").select("key_")
+    return left.where(~several).unionByName(keyed.join(doomed, "key_", "left_anti").drop("key_"))
+
+
 def watch_files(spark: SparkSession, folder: str, schema: str, store: FactStore, analyse, checkpoint: str, trigger: dict | None = None):
     """A query over rows of changed files (``file, hash`` and what ``analyse`` needs; a null hash: the file is gone) in a folder.
 
