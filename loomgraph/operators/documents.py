@@ -150,8 +150,9 @@ def scan_documents(nodes: DataFrame, edges: DataFrame, documents: DataFrame, out
         F.coalesce("was_x", 80.0 + F.col("level") * 240).alias("x"), F.coalesce("was_y", 80.0 + (F.col("idx") + 1) * 130).alias("y"), "file", F.col("now_hash").alias("hash"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"),
     )
     made = top.unionByName(section)
-    stay = nodes.join(made.select("id"), "id", "left_anti")
-    stay = stay.join(scanned, "file", "left_anti").unionByName(stay.join(scanned, "file", "left_semi").where("mode = 'MANUAL'"))
+    # what is made is known by its ids, before anything is joined to it
+    stay = nodes.join(docs.select(F.col("doc_id").alias("id")).unionByName(parts.select("id")), "id", "left_anti")
+    stay = stay.join(scanned.withColumn("scanned_", F.lit(True)), "file", "left").where("scanned_ IS NULL OR mode = 'MANUAL'").drop("scanned_")
     parent = section_ranges(parts.select("doc_id", "idx", "level", "page_start"), docs.select("doc_id", "pages")).select("doc_id", "idx", "parent_idx")
     inside = parent.join(docs.select("doc_id", "file"), "doc_id").select(
         F.when(F.col("parent_idx").isNull(), F.col("doc_id")).otherwise(F.concat("doc_id", F.lit(".section."), (F.col("parent_idx") + 1).cast("string"))).alias("source"),
