@@ -28,6 +28,8 @@ from .common import lean, per_process, table
 MAX_TOKENS, MAX_SEGMENTS, POOL, END_ID = 2048, 128, 1024, 1
 #: Words kept in each of two generations; a word that is met again goes over to the new one, so frequent words stay.
 WORDS_KEPT = 200_000
+#: The same where packing is all that a worker does.
+WORDS_KEPT_ALONE = 500_000
 #: Texts of these characters only are split here just as the tokenizer splits them, after lower-casing.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\u00c0-\u00ff\u2010-\u2027\u2030-\u205e]*")
 # Fixed value: the tokenizer's own split pattern, for those characters.
@@ -42,10 +44,10 @@ class WordTokenizer:
     that may hold special tokens are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -57,7 +59,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [SPLIT.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        if len(self.words) > WORDS_KEPT:
+        if len(self.words) > self.kept:
             self.words, self.older = {}, self.words
         words, older = self.words, self.older
         new = {w for ws in split if ws for w in ws if w not in words}
@@ -161,7 +163,7 @@ class Packer:
         self.sequence += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, with_ids: bool = False, words_kept: int = WORDS_KEPT) -> DataFrame:
     """Tokenize and pack whole texts; every token bears loss. One row per piece, with its ids if asked for.
 
     A sequence's id is its task's number and its own number there, so ids are unique and a repeated task gives the same.
@@ -173,7 +175,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = per_process("tokenizer:" + tokenizer, lambda: WordTokenizer(tokenizer))
+        encoder = per_process(f"tokenizer:{words_kept}:{tokenizer}", lambda: WordTokenizer(tokenizer, words_kept))
         packer = Packer(max_tokens, max_segments, first=TaskContext.get().partitionId() << 36)
         held: dict[int, tuple] = {}
         end, key = np.array([END_ID], "<u4").tobytes(), 0
@@ -268,4 +270,4 @@ def word_bpe_path() -> str:
 
 
 def op2_vector_packing(spark, sf_dir):
-    return pack_documents(table(spark, sf_dir, "documents"), word_bpe_path())
+    return pack_documents(table(spark, sf_dir, "documents"), word_bpe_path(), words_kept=WORDS_KEPT_ALONE)
