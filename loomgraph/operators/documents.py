@@ -115,41 +115,81 @@ def layout_artifacts(artifacts: DataFrame, max_tokens: int = 12_000, overhead: i
     return out.withColumn("id", F.concat("section_id", F.lit("."), F.substring(F.sha2(F.concat_ws(":", "kind", F.col("ord").cast("string"), "text"), 256), 1, 12)))
 
 
-def scan_documents(nodes: DataFrame, edges: DataFrame, documents: DataFrame, outlines: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a graph after a scan of documents: each document and its sections as nodes, joined by ``contains``.
+# What a node keeps of the one that it takes the place of.
+_WAS = ("content", "description", "created_by", "mode", "hash", "page_start", "page_end", "x", "y")
 
-    documents: ``file, title, pages, hash``; outlines: ``file, idx, level, title, page_start, page_end``; nodes: at least ``id, title, label,
-    content, description, source, created_by, mode, file, hash, page_start, page_end, x, y``; edges: ``source, target, type, file``.
-    What a scanned file had before goes, but for nodes by hand; a section keeps its text while hash and pages are the same.
-    """
-    docs = documents.select("file", "title", F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)).alias("pages"), F.col("hash").alias("now_hash"), document_id(F.col("file")).alias("doc_id"))
-    parts = outlines.join(docs.select("file", "doc_id", "pages", "now_hash"), "file")
-    parts = parts.withColumn("page_end", F.coalesce("page_end", "pages"))
-    parts = clean_outline(parts, F.col("pages")).withColumn("id", F.concat("doc_id", F.lit(".section."), (F.col("idx") + 1).cast("string")))
-    parts = parts.withColumn("name", filled(F.trim(F.coalesce("title", F.lit(""))), F.concat(F.lit("Section "), (F.col("idx") + 1).cast("string"))))
-    scanned = docs.select("file").distinct()
-    old = nodes.join(scanned, "file", "left_semi")
-    was = old.select("id", *[F.col(c).alias(f"was_{c}") for c in ("content", "description", "created_by", "mode", "hash", "page_start", "page_end", "x", "y")])
+
+def _sections(parts: DataFrame) -> DataFrame:
+    """Entries of outlines, cleaned, with their ids and names. Rows also have ``doc_id, pages``."""
+    parts = clean_outline(parts.withColumn("page_end", F.coalesce("page_end", "pages")), F.col("pages")).withColumn("id", F.concat("doc_id", F.lit(".section."), (F.col("idx") + 1).cast("string")))
+    return parts.withColumn("name", filled(F.trim(F.coalesce("title", F.lit(""))), F.concat(F.lit("Section "), (F.col("idx") + 1).cast("string"))))
+
+
+def _by_hand(now: str) -> tuple[Column, list[Column]]:
     manual = F.coalesce(F.col("was_mode") == "MANUAL", F.lit(False))
-    by_hand = [F.when(manual, F.col("was_created_by")).otherwise("analyzer").alias("created_by"), F.lit("active").alias("status"), F.when(manual, "MANUAL").otherwise("AUTO").alias("mode"), F.lit(now).alias("updated_at")]
-    count = parts.groupBy("file").agg(F.count("*").alias("n"))
-    tops = docs.join(count, "file", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "id": F.col("doc_id")}).join(was, "id", "left")
+    return manual, [F.when(manual, F.col("was_created_by")).otherwise("analyzer").alias("created_by"), F.lit("active").alias("status"), F.when(manual, "MANUAL").otherwise("AUTO").alias("mode"), F.lit(now).alias("updated_at")]
+
+
+def _top_nodes(tops: DataFrame, now: str) -> DataFrame:
+    """Nodes of documents, from rows with what the scan found and what the node was."""
+    manual, by_hand = _by_hand(now)
     said = F.concat(F.lit("PDF document: "), "file", F.lit("\nPages: "), F.col("pages").cast("string"), F.lit("\nOutline sections: "), F.col("n").cast("string"))
     told = F.concat(F.lit("PDF document with "), F.col("pages").cast("string"), F.lit(" pages and "), F.col("n").cast("string"), F.lit(" outline sections."))
     kept = lambda own, new: filled(F.when(manual, F.col(own)), new)
     none = F.lit(None).cast("int")
-    top = tops.select(
+    return tops.select(
         "id", F.lit("documentation").alias("type"), "title", F.col("title").alias("label"), kept("was_content", said).alias("content"), kept("was_description", told).alias("description"), F.col("file").alias("source"), *by_hand,
         F.coalesce("was_x", F.lit(80.0)).alias("x"), F.coalesce("was_y", F.lit(80.0)).alias("y"), "file", F.col("now_hash").alias("hash"), none.alias("page_start"), none.alias("page_end"),
     )
-    rows = parts.join(was, "id", "left")
+
+
+def _section_nodes(rows: DataFrame, now: str) -> DataFrame:
+    """Nodes of sections, likewise."""
+    manual, by_hand = _by_hand(now)
     same = manual | (F.col("was_hash").eqNullSafe(F.col("now_hash")) & F.col("was_page_start").eqNullSafe(F.col("page_start")) & F.col("was_page_end").eqNullSafe(F.col("page_end")))
-    section = rows.select(
+    return rows.select(
         "id", F.lit("documentation").alias("type"), F.col("name").alias("title"), F.col("name").alias("label"), F.when(same, F.coalesce("was_content", F.lit(""))).otherwise("").alias("content"),
         F.concat("file", F.lit(", pages "), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string")).alias("description"), F.concat("file", F.lit("#page="), F.col("page_start").cast("string")).alias("source"), *by_hand,
         F.coalesce("was_x", 80.0 + F.col("level") * 240).alias("x"), F.coalesce("was_y", 80.0 + (F.col("idx") + 1) * 130).alias("y"), "file", F.col("now_hash").alias("hash"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"),
     )
-    made = top.unionByName(section)
+
+
+def scan_files(files: DataFrame, now: str) -> DataFrame:
+    """D4 where a row has all of a file: the nodes that ``scan_documents`` gives, without a shuffle.
+
+    files: ``file, title, pages, hash, scanned, outline, known``: outline, an array of ``idx, level, title, page_start, page_end``, and
+    known, the nodes that the file has; their ids are the document's or begin with it.
+    """
+    files = files.withColumns({"pages": F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)), "doc_id": document_id(F.col("file"))}).withColumnRenamed("hash", "now_hash")
+    scanned = files.where("scanned")
+
+    def with_was(df: DataFrame) -> DataFrame:
+        df = df.withColumn("was", F.explode_outer(F.filter("known", lambda x: x["id"] == F.col("id"))))
+        return df.withColumns({f"was_{c}": F.col("was")[c] for c in _WAS})
+
+    tops = with_was(scanned.withColumns({"n": F.size("outline"), "id": F.col("doc_id")}))
+    parts = scanned.select("file", "doc_id", "pages", "now_hash", "known", F.inline("outline"))
+    made = _top_nodes(tops, now).unionByName(_section_nodes(with_was(_sections(parts)), now))
+    ids = F.concat(F.array("doc_id"), F.transform("outline", lambda x: F.concat("doc_id", F.lit(".section."), (x["idx"] + 1).cast("string"))))
+    stay = files.withColumn("known", F.filter("known", lambda x: ~F.col("scanned") | ((x["mode"] == "MANUAL") & ~F.array_contains(ids, x["id"]))))
+    return stay.select("file", F.inline("known")).unionByName(made, allowMissingColumns=True)
+
+
+def scan_documents(nodes: DataFrame, edges: DataFrame, documents: DataFrame, outlines: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph after a scan of documents: each document and its sections as nodes, joined by ``contains``.
+
+    documents: ``file, title, pages, hash``; outlines: ``file, idx, level, title, page_start, page_end``; nodes: at least ``id, title, label,
+    content, description, source, created_by, mode, file, hash, page_start, page_end, x, y``; edges: ``source, target, type, file``.
+    What a scanned file had before goes, but for nodes by hand; a section keeps its text while hash and pages are the same.
+    """
+    docs = documents.select("file", "title", F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)).alias("pages"), F.col("hash").alias("now_hash"), document_id(F.col("file")).alias("doc_id"))
+    parts = _sections(outlines.join(docs.select("file", "doc_id", "pages", "now_hash"), "file"))
+    scanned = docs.select("file").distinct()
+    old = nodes.join(scanned, "file", "left_semi")
+    was = old.select("id", *[F.col(c).alias(f"was_{c}") for c in _WAS])
+    count = parts.groupBy("file").agg(F.count("*").alias("n"))
+    tops = docs.join(count, "file", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "id": F.col("doc_id")}).join(was, "id", "left")
+    made = _top_nodes(tops, now).unionByName(_section_nodes(parts.join(was, "id", "left"), now))
     # what is made is known by its ids, before anything is joined to it
     stay = nodes.join(docs.select(F.col("doc_id").alias("id")).unionByName(parts.select("id")), "id", "left_anti")
     stay = stay.join(scanned.withColumn("scanned_", F.lit(True)), "file", "left").where("scanned_ IS NULL OR mode = 'MANUAL'").drop("scanned_")
