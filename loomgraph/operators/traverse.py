@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.text import filled, rendered_detail, term_hits, trim_all
-from .closure import reach, settle
+from .closure import reach, settle, small_side
 from .store import is_implementation
 
 NARROWED = "task-relevant symbol in "
@@ -45,11 +45,19 @@ def walks(nodes: DataFrame, edges: DataFrame, items: DataFrame, entries: DataFra
     kinds = nodes.select("id", "type")
     excluded, included = force_exclude.select("walk", "id").distinct(), force_include.select("walk", "id").distinct()
     selected = entries.join(kinds.select(F.col("id").alias("entry")), "entry").select("walk", F.col("entry").alias("id"), F.lit(0).alias("depth"), F.lit("context entry").alias("reason"), F.lit("content,code,context,interface,contract").alias("scope"), F.lit(0).cast("bigint").alias("pos"), F.lit(True).alias("expand"))
-    both = edges.select("ord", F.col("source").alias("here"), F.col("target").alias("next"), F.lit(True).alias("forward"), "type", "mode", "scope").unionByName(
-        edges.where("source <> target").select("ord", F.col("target").alias("here"), F.col("source").alias("next"), F.lit(False).alias("forward"), "type", "mode", "scope")
+    # a walk goes on from these only: edges that no such node has are not looked at
+    goes_on = kinds.where("type in ('functional', 'task')").select(F.col("id").alias("here")).unionByName(entries.select(F.col("entry").alias("here")))
+    targets = edges.where("type = 'targets'")
+    goes_on = small_side(goes_on.unionByName(targets.select(F.col("source").alias("here"))).unionByName(targets.select(F.col("target").alias("here"))).distinct())
+    both = edges.select("ord", F.col("source").alias("here"), F.col("target").alias("next"), F.lit(True).alias("forward"), "type", "mode", "scope").join(goes_on, "here", "left_semi").unionByName(
+        edges.where("source <> target").select("ord", F.col("target").alias("here"), F.col("source").alias("next"), F.lit(False).alias("forward"), "type", "mode", "scope").join(goes_on, "here", "left_semi")
     )
     both = both.where("type <> 'derived_from'").where(F.col("forward") | ~F.col("type").isin(schema.FORWARD_TYPES))
-    both = both.join(kinds.select(F.col("id").alias("here"), F.col("type").alias("here_type")), "here").join(kinds.select(F.col("id").alias("next"), F.col("type").alias("next_type")), "next")
+    ends = small_side(kinds.join(goes_on, F.col("id") == F.col("here"), "left_semi").select(F.col("id").alias("here"), F.col("type").alias("here_type")))
+    both = both.join(ends, "here").join(kinds.select(F.col("id").alias("next"), F.col("type").alias("next_type")), "next")
+    # from a function to code an edge matters only if it forces something
+    forces = F.coalesce(F.col("forward") & (F.col("mode").isin("FORCE_EXCLUDE", "FORCE_INCLUDE") | F.col("type").isin("force_exclude", "force_include")), F.lit(False))
+    both = both.where(forces | ~((F.col("here_type") == "functional") & is_implementation(F.col("next_type"))))
     both = settle(both.where(~(F.col("type").isin(schema.CODE_EDGE_TYPES) & (F.col("here_type") == "functional"))))
     owners = items.select("functional", F.col("impl_id").alias("next"), F.col("ord").alias("item_ord")).join(kinds.where("type = 'functional'").select(F.col("id").alias("functional")), "functional")
     code = lambda c: is_implementation(F.col(c))
@@ -118,7 +126,7 @@ def mapping_overrides(functions: DataFrame, items: DataFrame, excluded: DataFram
 
 def contained(files: DataFrame, edges: DataFrame) -> DataFrame:
     """``file, id``: all that a file contains, however deep."""
-    step, found, level = edges.where("type = 'contains'").select(F.col("source").alias("id"), F.col("target").alias("child")).distinct(), None, files.select(F.col("id").alias("file"), "id").distinct()
+    step, found, level = edges.where("type = 'contains'").select(F.col("source").alias("id"), F.col("target").alias("child")), None, small_side(files.select(F.col("id").alias("file"), "id").distinct())
     while True:
         level = level.join(step, "id").select("file", F.col("child").alias("id")).where("file <> id").distinct()
         level = settle(level if found is None else level.join(found, ["file", "id"], "left_anti"))
@@ -127,10 +135,15 @@ def contained(files: DataFrame, edges: DataFrame) -> DataFrame:
         found = level if found is None else found.unionByName(level)
 
 
-def symbol_hits(inside: DataFrame, nodes: DataFrame, terms: Column, most: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
-    """``file, symbol, hits, rank``: of a file's symbols (``file, id``) those that task terms hit, the best three by hits, then id."""
+def symbol_hits(inside: DataFrame, nodes: DataFrame, terms: Column, most: int = 3, by: tuple[str, ...] = (), asks: DataFrame | None = None) -> DataFrame:
+    """``file, symbol, hits, rank``: of a file's symbols (``file, id``) those that task terms hit, the best three by hits, then id.
+
+    asks: ``file`` and the columns that ``by`` and ``terms`` have, where a file is asked for several times.
+    """
     text = F.concat_ws(" ", "id", F.coalesce("title", F.lit("")), F.coalesce("label", F.lit("")), F.coalesce("signature", F.lit("")))
-    scored = inside.join(nodes.select("id", text.alias("said")), "id").withColumn("hits", term_hits(F.col("said"), terms)).where("hits > 0")
+    symbols = inside.join(nodes.select("id", text.alias("said")), "id")
+    symbols = symbols if asks is None else symbols.join(small_side(asks), "file")
+    scored = symbols.withColumn("hits", term_hits(F.col("said"), terms)).where("hits > 0").select(*by, "file", "id", "hits")
     rank = F.row_number().over(Window.partitionBy(*by, "file").orderBy(F.desc("hits"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(*by, "file", F.col("id").alias("symbol"), "hits", "rank")
 

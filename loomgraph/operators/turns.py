@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import task_terms
-from .closure import settle
+from .closure import settle, small_side
 from .infer import pick_implementations
 from .policy import resolve_policy, select_by_budget
 from .session import DEFAULTS, LIMITS
@@ -111,6 +111,13 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     if nodes.isEmpty():
         none = turns.where("false").select(F.col("session").alias("request"), F.lit("").alias("id"), F.lit("").alias("reason"))
         return _verdicts(_without_graph(turns), nodes), none, none
+    # sessions that agree in text and settings get the same rows: one of them is compiled
+    turns, alike = _alike(turns)
+
+    def of_each(df: DataFrame, name: str) -> DataFrame:
+        rows = df.withColumnRenamed(name, "first_").join(alike, F.col("first_").eqNullSafe(F.col("stands_")))
+        return rows.withColumnRenamed("session", name).select(*df.columns)
+
     turns = turn_targets(turns, nodes)
     ready = turns.where("code IS NULL")
 
@@ -120,9 +127,9 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     ready = settle(ready.withColumns({"include": F.array_sort(F.array_distinct("include"))}).withColumn("walk", key))
     each = settle(ready.groupBy("walk").agg(*[F.first(c).alias(c) for c in ("target", "depth", "include", "exclude")]))
     kind = nodes.select(F.col("id").alias("target"), "type")
-    entries = each.join(kind, "target").select("walk", F.col("target").alias("entry"), *[c.alias(n) for n, c in limits_of(policy, F.col("type") == "task", F.col("depth")).items()])
+    entries = kind.join(small_side(each), "target").select("walk", F.col("target").alias("entry"), *[c.alias(n) for n, c in limits_of(policy, F.col("type") == "task", F.col("depth")).items()])
     entries = settle(entries)
-    hidden, shown = by_mode("FORCE_EXCLUDE"), by_mode("FORCE_INCLUDE")
+    hidden, shown = small_side(by_mode("FORCE_EXCLUDE")), by_mode("FORCE_INCLUDE")
     # what the graph includes by hand is in every selection: one row with those ids, joined to each walk
     always = shown.agg(F.collect_set("id").alias("always"))
     off = each.select("walk", F.explode("exclude").alias("id"))
@@ -162,11 +169,12 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     # Files whose symbols the task's words hit give way to those
     is_file = nodes.where("type IN ('code_module', 'implementation_file')").select("id")
     files = chosen.where(F.array_contains(F.split("scope", ","), "code")).join(is_file, "id", "left_semi")
-    inside = contained(files.select("id").distinct(), edges.join(nodes.select(F.col("id").alias("target")), "target", "left_semi"))
+    inside = contained(files.select("id").distinct(), edges.where("type = 'contains'").join(nodes.select(F.col("id").alias("target")), "target", "left_semi"))
     # sessions whose texts have the same terms share the hits
     asked = settle(files.select("walk", "request", F.col("id").alias("file")).join(texts.select("request", F.array_sort(task_terms(F.col("text"))).alias("terms")), "request"))
-    hits = symbol_hits(asked.select("file", "terms").distinct().join(inside, "file"), nodes, F.col("terms"), by=("terms",))
-    hits = settle(asked.join(hits, ["file", "terms"]).drop("terms"))
+    asks = settle(asked.select("file", "terms").distinct().withColumn("ask", F.monotonically_increasing_id()))
+    hits = symbol_hits(inside, nodes, F.col("terms"), by=("ask",), asks=asks)
+    hits = settle(asked.join(asks, ["file", "terms"]).join(hits.drop("file"), "ask").drop("terms", "ask"))
     narrowed = hits.select("request", F.col("file").alias("id"), F.lit(True).alias("narrowed")).distinct()
     chosen = chosen.join(narrowed, ["request", "id"], "left").withColumn("scope", F.when(F.col("narrowed"), F.array_join(F.array_remove(F.split("scope", ","), "code"), ",")).otherwise(F.col("scope"))).drop("narrowed")
     place = files.select("request", F.col("id").alias("file"), F.col("depth").alias("file_depth"), F.col("pos").alias("file_pos"))
@@ -184,8 +192,11 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     chosen = chosen.select("request", "id", F.when(by_hand, 0).otherwise(F.col("depth")).alias("depth"), F.when(by_hand, "FORCE_INCLUDE").otherwise(F.col("reason")).alias("reason"), F.when(by_hand, FORCED_SCOPE).otherwise(F.col("scope")).alias("scope"), F.coalesce("pos", F.lit(1 << 50)).alias("pos"))
     about = ready.select(F.col("session").alias("request"), F.col("target").alias("entry"), F.col("text").alias("task"))
     chosen = settle(chosen)
-    found, left = candidate_rows(chosen.join(about, "request"), nodes, memory)
-    entry = about.join(nodes.select(F.col("id").alias("entry"), F.col("type").alias("node_type"), "status", F.col("priority").alias("priority_name")), "entry")
+    # of the nodes, only those that some request has
+    wanted = small_side(chosen.select("id").unionByName(about.select(F.col("entry").alias("id"))).distinct())
+    mine = settle(nodes.join(wanted, "id", "left_semi"))
+    found, left = candidate_rows(chosen.join(about, "request"), mine, memory)
+    entry = about.join(mine.select(F.col("id").alias("entry"), F.col("type").alias("node_type"), "status", F.col("priority").alias("priority_name")), "entry")
 
     def fixed(pos: int, priority: int, label: str, text: Column, scope: str, reason: str) -> DataFrame:
         return entry.select("request", F.col("entry").alias("node"), "node_type", "status", "priority_name", F.lit(1).alias("depth"), F.lit(reason).alias("reason"), F.lit(pos).cast("bigint").alias("pos"), F.lit(label).alias("label"), text.alias("content"), F.lit(scope).alias("scope"), F.lit(priority).alias("priority"), F.lit(True).alias("required"), F.lit(False).alias("force_include"))
@@ -198,4 +209,12 @@ def compile_turns(messages: DataFrame, nodes: DataFrame, edges: DataFrame, items
     rows = settle(rows.join(ready.select(F.col("session").alias("request"), "token_budget"), "request"))
     selection = select_by_budget(rows, "token_budget", policy, contents=True)
     left = left.unionByName(excluded.join(nodes.select("id"), "id", "left_semi").join(texts.select("walk", "request"), "walk").select("request", "id", F.lit("FORCE_EXCLUDE").alias("reason")))
-    return _verdicts(turns, nodes), selection, left
+    return of_each(_verdicts(turns, nodes), "session"), of_each(selection, "request"), of_each(left, "request")
+
+
+def _alike(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of turns with the same text and settings the first, and for which sessions it stands: ``stands_, session``."""
+    own = [c for c in turns.columns if c != "session"]
+    keyed = settle(turns.withColumn("like", F.unhex(F.sha2(F.to_json(F.struct(*own)), 256))))
+    first = settle(keyed.groupBy("like").agg(F.min("session").alias("session"), *[F.first(c).alias(c) for c in own]))
+    return first.drop("like"), settle(keyed.select("like", "session").join(first.select("like", F.col("session").alias("stands_")), "like").select("stands_", "session"))

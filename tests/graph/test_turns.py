@@ -142,3 +142,16 @@ def test_budget_of_a_provider(spark):
             ok = bool(picked) and (picked == content or exact or kind == "file")
             assert got[request, i] == (ok, ok and picked != content), (request, i)
             text = base + picked if ok else text
+
+
+def test_sessions_with_the_same_text_are_compiled_once(spark, graph, monkeypatch):
+    counted, whole = [], turns.turn_targets
+    monkeypatch.setattr(turns, "turn_targets", lambda t, nodes: (counted.append(t.count()), whole(t, nodes))[1])
+    said = ["look at m.auth token", "look at f.store", "hello"]
+    messages = spark.createDataFrame([(f"s{k}", 1, "user", "user", said[k % 3]) for k in range(9)], MESSAGES)
+    verdicts, selection, left = turns.compile_turns(messages, *graph)
+    assert counted == [3]
+    assert {(r.session, r.target) for r in verdicts.collect()} == {(f"s{k}", ["m.auth", "f.store", None][k % 3]) for k in range(9)}
+    of = lambda rows: {k: sorted(str(r[1:]) for r in ([x.request, *[x[c] for c in x.__fields__ if c != "request"]] for x in rows) if r[0] == f"s{k}") for k in range(9)}
+    chosen, gone = of(selection.collect()), of(left.collect())
+    assert all(chosen[k] == chosen[k % 3] and gone[k] == gone[k % 3] for k in range(9)) and chosen[0] and chosen[1] and chosen[0] != chosen[1] and not chosen[2]
